@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chunkloom.llm import media
+from chunkloom.llm import media, sharding, warc
 
-MODULES = (media,)
+MODULES = (warc, sharding, media)
 
 
 def queries() -> dict:
