@@ -57,6 +57,19 @@ def arrow_map(df: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]], s
     return df.mapInArrow(batches, schema)
 
 
+def gathered(it: Iterator[dict], text: str, target: int = 8 << 20) -> Iterator[dict]:
+    """Joins a task's small batches until their texts have `target` characters."""
+    held, size = None, 0
+    for cols in it:
+        held = cols if held is None else {k: held[k] + cols[k] for k in cols}
+        size += sum(len(x) for x in cols[text] if x is not None)
+        if size >= target:
+            yield held
+            held, size = None, 0
+    if held is not None:
+        yield held
+
+
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], out: str, salts: int = 256) -> DataFrame:
     """Adds `out`, 0, 1, 2... within `keys`. Each key's rows are ranked in `salts` parts and shifted by the parts'
     sizes, so that no task sorts a whole hot key. `df` must give the same rows when it is computed again."""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chunkloom.llm import media, sharding, warc
+from chunkloom.llm import media, sharding, tokens, warc
 
-MODULES = (warc, sharding, media)
+MODULES = (tokens, warc, sharding, media)
 
 
 def queries() -> dict:
