@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chunkloom.llm import media, packing, sharding, tokens, warc
+from chunkloom.llm import language, media, packing, sharding, tokens, warc
 
-MODULES = (tokens, warc, packing, sharding, media)
+MODULES = (tokens, warc, language, packing, sharding, media)
 
 
 def queries() -> dict:
