@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,9 +31,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes `df` to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # What was shuffled for it is of no more use; Spark removes shuffle files once the driver's references are collected.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small_or_shuffled(df: DataFrame, most: int) -> DataFrame:
+    """Marks a written table for broadcast if it has at most `most` rows; else joins with it shuffle as usual."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def arrow_map(df: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:

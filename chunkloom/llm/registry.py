@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chunkloom.llm import language, media, packing, scoring, sharding, tokens, warc
+from chunkloom.llm import language, lines, media, packing, scoring, sharding, tokens, warc
 
-MODULES = (tokens, warc, language, packing, sharding, media, scoring)
+MODULES = (tokens, warc, lines, language, packing, sharding, media, scoring)
 
 
 def queries() -> dict:
