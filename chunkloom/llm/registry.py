@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chunkloom.llm import jaccard, language, lines, media, packing, scoring, sharding, tokens, warc
+from chunkloom.llm import jaccard, language, lines, media, packing, scoring, search, sharding, tokens, warc
 
-MODULES = (tokens, warc, lines, language, packing, sharding, media, scoring, jaccard)
+MODULES = (tokens, warc, lines, language, packing, sharding, media, scoring, search, jaccard)
 
 
 def queries() -> dict:
