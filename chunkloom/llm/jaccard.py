@@ -27,12 +27,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import arrow_map, components, gathered, materialise, read
+from chunkloom.llm.common import arrow_map, components, gathered, materialise, read, small_or_shuffled
 from chunkloom.llm.words import hashes, mix
 
 SHINGLE, BUCKETS = 5, 1 << 22
 #: 64-bit words of a bitmap; children of a node; tokens of a tile.
 BITMAP_WORDS, FANOUT, TILE_TOKENS = 32, 8, 2_000_000
+#: Rows (of one or three numbers) up to which a table is broadcast; beyond it, joins shuffle.
+BROADCAST_ROWS = 2_000_000
 WEIGHTS = np.random.default_rng(5).integers(1, 1 << 62, SHINGLE, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -155,7 +157,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
         import zlib
 
         count = np.zeros(BUCKETS, np.uint32)
-        for cols in gathered(it, "text", 4 << 20):
+        for cols in gathered(it, "text", 2 << 20):
             sets = shingle_sets(cols["text"])
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             np.add(count, np.bincount((every % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32), out=count)
@@ -196,7 +198,7 @@ def prefix_rows(docs: DataFrame, levels) -> DataFrame:
         import pyarrow as pa
 
         level = levels.value
-        for cols in gathered(it, "text", 4 << 20):
+        for cols in gathered(it, "text", 2 << 20):
             tokens, rid, size = [], [], []
             for i, s in zip(cols["rid"], shingle_sets(cols["text"]), strict=True):
                 n = len(s)
@@ -278,19 +280,25 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = rows.where("segment is null").select("rid", "n", "key")
     levels = spark.sparkContext.broadcast(rarity(rows))
     classes = materialise(sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"), F.first("n").alias("n")), "classes")
-    # One text of each class goes on; a text may have several classes' ids only if rows repeat an id.
-    chosen = docs.select("rid", "text").join(classes.select("rid"), "rid", "left_semi").dropDuplicates(["rid"])
+    # One text of each class goes on. Only where rows repeat an id are texts shuffled to drop the repeats.
+    repeats = not sets.groupBy("rid").count().where("count > 1").isEmpty()
+
+    def texts(of: DataFrame) -> DataFrame:
+        found = docs.select("rid", "text").join(small_or_shuffled(of, BROADCAST_ROWS), "rid", "left_semi")
+        return found.dropDuplicates(["rid"]) if repeats else found
+
+    chosen = texts(classes.select("rid"))
     edges = components(chains(prefix_rows(chosen, levels)))
     # Sets that are chained with others, in their blocks; (block, size) order cuts large blocks into tiles.
     found = materialise(edges.join(classes, edges["node"] == classes["rid"]).select("rid", F.col("root").alias("block"), "n"), "blocks")
     members = materialise(tiles(found, tile_tokens), "tiles")
 
     def tokens(it: Iterator[dict]) -> Iterator[dict]:
-        for cols in gathered(it, "text", 4 << 20):
+        for cols in gathered(it, "text", 2 << 20):
             yield {"rid": cols["rid"], "tokens": [s.tobytes() for s in shingle_sets(cols["text"])]}
 
-    wanted = docs.select("rid", "text").join(members.select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"])
-    links = tree_links(members.join(arrow_map(wanted, tokens, "rid long, tokens binary"), "rid"))
+    wanted = texts(materialise(members.select("rid").distinct(), "members"))
+    links = tree_links(arrow_map(wanted, tokens, "rid long, tokens binary").join(small_or_shuffled(members, BROADCAST_ROWS), "rid"))
     links = components(links)
     label = classes.join(links, classes["rid"] == links["node"], "left").select("key", F.coalesce("root", "rid").alias("component"))
     whole = sets.join(label, "key", "left").select("rid", "n", F.coalesce("component", "rid").alias("component")).groupBy("rid").agg(F.max("n").alias("n"), F.min("component").alias("component"))
