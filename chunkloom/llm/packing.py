@@ -29,7 +29,8 @@ CAPACITY, END_ID = 4096, 1
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 #: Latin letters that need no Unicode normalisation: texts of others go through the library whole.
 PLAIN = "[^\x00-ɏ‐-‧€]"
-CACHE_WORDS = 1_000_000
+#: Words whose ids are remembered, and words that the library gets at once: what it returns is large.
+CACHE_WORDS, LIBRARY_WORDS = 400_000, 4096
 
 
 class WordTokenizer:
@@ -60,8 +61,10 @@ class WordTokenizer:
             words = self.words.findall(text.lower())
             missing.update(words)
             found.append(words)
-        if todo := list(missing - self.known.keys()):
-            self.known.update(zip(todo, self.whole(todo), strict=True))
+        todo = list(missing - self.known.keys())
+        for i in range(0, len(todo), LIBRARY_WORDS):
+            part = todo[i : i + LIBRARY_WORDS]
+            self.known.update(zip(part, self.whole(part), strict=True))
         get = self.known.__getitem__
         return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in found]
 
@@ -76,7 +79,7 @@ def pieces_of(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     def work(it: Iterator[dict]) -> Iterator[dict]:
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for cols in gathered(it, "_text"):
+        for cols in gathered(it, "_text", 2 << 20):
             out: dict[str, list] = {k: [] for k in (id_col, "piece", "start", "length", "ids_crc32", "ids")}
             for i, ids in zip(cols[id_col], tokenizer(vocabulary).encode([x or "" for x in cols["_text"]]), strict=True):
                 ids += end
