@@ -40,6 +40,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Removes the files of a table that `materialise` gave and that nothing refers to any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small_or_shuffled(df: DataFrame, most: int) -> DataFrame:
     """Marks a written table for broadcast if it has at most `most` rows; else joins with it shuffle as usual."""
     return F.broadcast(df) if df.count() <= most else df

@@ -7,8 +7,8 @@ pretrained on the training rows; contexts that it has not seen cost no escape. A
 as the base to compare with.
 
 Scale: counts are summed over all training rows, words by a shuffle; words are joined back to blocks of documents, not
-broadcast. The trie is sent out in slices of bounded size, by the two latest bytes of the context, and workers go
-through the slices one at a time, so neither the driver nor a worker holds more than a slice however large the corpus.
+broadcast. The trie lies in the shared folder in slices of bounded size, by the two latest bytes of the context, and
+workers go through the slices one at a time: none holds more than one, and the driver none, however large the corpus.
 
 Edge cases: a null text is an empty one and has the end alone; with no training rows each byte is dealt evenly;
 repeated rows are scored each, and learned from each; other columns are not read.
@@ -23,13 +23,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import arrow_map, gathered, materialise, read
+from chunkloom.llm.common import arrow_map, drop_table, gathered, materialise, read, shared_dir
+from chunkloom.llm.warc import file_system
 from chunkloom.llm.words import LOWER, hashes
 
 #: Bytes of the longest context. One byte that UTF-8 never has stands for the end of a text, and before its beginning.
 ORDER, END = 5, b"\xff"
 #: Entries of a slice of the trie; text bytes of a block of documents.
-SLICE_ENTRIES, BLOCK_BYTES = 4_000_000, 16 << 20
+SLICE_ENTRIES, BLOCK_BYTES = 1_000_000, 16 << 20
+#: Text bytes that are scored at once.
+PART_BYTES = 512 << 10
 SYMBOLS = 256
 END_HASH = np.int64(0)
 
@@ -143,6 +146,24 @@ class Model:
         return total
 
 
+#: The slice that a worker holds, by its path and number.
+_MODELS: dict[tuple[str, int], Model] = {}
+
+
+def entries(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, counts) of a table in the shared folder; empty if it has no rows."""
+    import pyarrow.dataset as ds
+    from pyarrow import fs
+
+    system, path = file_system(uri)
+    if system.get_file_info(path).type == fs.FileType.NotFound:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = ds.dataset(path, filesystem=system, format="parquet").to_table(columns=["key", "n"])
+    keys, counts = got["key"].to_numpy().astype(np.uint64), got["n"].to_numpy().astype(np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
 def slice_of(keys, slices: int):
     """The slice of an entry: by the two latest bytes of its context. Works on numpy arrays and on columns."""
     if isinstance(keys, np.ndarray):
@@ -159,7 +180,11 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     per_scan = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")) if spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB").isdigit() else 128 << 20
     parts = max(1, -(-per_scan // BLOCK_BYTES))
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"))
-    docs = materialise(docs.withColumn("block", F.spark_partition_id().cast("long") * parts + F.pmod(F.xxhash64("id", "text"), F.lit(parts))), "blocks")
+    docs = docs.withColumn("block", F.spark_partition_id().cast("long") * parts + F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
+    # A folder for each block: its texts are read where its words are, without a shuffle.
+    blocks, schema = shared_dir(spark, "blocks"), docs.schema
+    docs.write.partitionBy("block").parquet(blocks)
+    docs = spark.read.schema(schema).parquet(blocks)
 
     def count(it: Iterator[dict]) -> Iterator[dict]:
         """Rows (kind, block, key, n): 0, a word of the block and how often the training rows there have it; 1, an entry of
@@ -170,10 +195,11 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             u, inverse = np.unique(keys, return_inverse=True)
             return u, np.bincount(inverse, counts, len(u)).astype(np.int64)
 
+        _MODELS.clear()
         words: dict[int, list] = {}
         grams: list = []
         tokens = 0
-        for cols in gathered(it, "text", 4 << 20):
+        for cols in gathered(it, "text", PART_BYTES):
             raw = [t.encode() for t in cols["text"]]
             train, block = np.array(cols["train"]), np.array(cols["block"])
             h, first = hashes(raw)
@@ -200,64 +226,67 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     counted = materialise(arrow_map(docs.select("text", "train", "block"), count, "kind int, block long, key long, n long"), "counts")
     of_word = Window.partitionBy("key")
-    words = counted.where("kind = 0").groupBy("block", "key").agg(F.sum("n").alias("n"))
-    words = words.select("block", "key", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("first"))
+    # A block that several tasks read has several rows of a word; each gets the same count.
+    words = counted.where("kind = 0").select("block", "key", F.sum("n").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("block")) == 1).alias("first"))
     words = materialise(words, "words")
     kinds = int(words.agg(F.count_if(F.col("first") & (F.col("c") > 0))).first()[0])
     tokens = int(counted.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
-    grams = materialise(counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    grams = counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
+    grams = materialise(grams, "grams")
     slices = max(1, -(-grams.count() // slice_entries))
-
-    def table(g: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = g.toPandas().sort_values("key")
-        return got["key"].to_numpy(np.uint64), got["n"].to_numpy(np.int64)
-
-    low = table(grams.groupBy((F.col("key").bitwiseAND(F.lit(0xFFFF).cast("long"))).alias("key")).agg(F.sum("n").alias("n")))
-    # Raw counts go out, a slice at a time; each worker makes its tables of them.
-    sent = [spark.sparkContext.broadcast((*table(grams.where(slice_of(F.col("key"), slices) == i)), *low)) for i in range(slices)]
-    made: dict[int, Model] = {}
+    path = shared_dir(spark, "trie")
+    # Counts stay in the shared folder, a file set for each slice; each worker makes its tables of them.
+    grams.withColumn("slice", slice_of(F.col("key"), slices).cast("int")).repartition(slices, "slice").write.partitionBy("slice").parquet(f"{path}/high")
+    low = grams.groupBy((F.col("key").bitwiseAND(F.lit(0xFFFF).cast("long"))).alias("key")).agg(F.sum("n").alias("n"))
+    low.coalesce(1).write.parquet(f"{path}/low")
 
     def model(i: int) -> Model:
-        if i not in made:
-            made.clear()
-            made[i] = Model(*sent[i].value)
-            if hasattr(sent[i], "_value") and sent[i]._path:
-                del sent[i]._value
-        return made[i]
-
-    def block(docs_of, words_of):
+        if (path, i) not in _MODELS:
+            _MODELS.clear()
+            _MODELS[path, i] = Model(*entries(f"{path}/high/slice={i}"), *entries(f"{path}/low"))
+        return _MODELS[path, i]
+
+    def block(words_of):
         import pandas as pd
+        import pyarrow.dataset as ds
 
         known = words_of.sort_values("key")
         keys, counts = known["key"].to_numpy(np.int64), known["c"].to_numpy(np.int64)
-        raw = [t.encode() for t in docs_of["text"]]
-        out, at = [], 0
+        system, place_of = file_system(f"{blocks}/block={words_of['block'].iloc[0]}")
+        ids, train, raw = [], [], []
+        for batch in ds.dataset(place_of, filesystem=system, format="parquet").to_batches(columns=["id", "text", "train"], batch_size=1024):
+            ids += batch["id"].to_pylist()
+            train += batch["train"].to_pylist()
+            raw += [t.encode() for t in batch["text"].to_pylist()]
+        parts, at = [], 0
         while at < len(raw):
             stop, size = at, 0
-            while stop < len(raw) and (stop == at or size + len(raw[stop]) <= 2 << 20):
+            while stop < len(raw) and (stop == at or size + len(raw[stop]) <= PART_BYTES):
                 size += len(raw[stop])
                 stop += 1
-            part = raw[at:stop]
-            h, first = hashes(part)
+            parts.append((at, stop))
+            at = stop
+        cols = np.zeros((4, len(raw)))
+        for a, b in parts:
+            h, first = hashes(raw[a:b])
             c = counts[np.searchsorted(keys, h.view(np.int64))] if len(h) else np.zeros(0, np.int64)
             logs = np.r_[0.0, np.cumsum(np.log10(c + 1.0))]
             seen = np.r_[0, np.cumsum(c > 0)]
-            symbols, place = keys_of(part)
-            score = np.zeros(len(part))
-            for i in range(slices):
-                mine = slice(None) if slices == 1 else np.flatnonzero(slice_of(symbols, slices) == i)
+            cols[:3, a:b] = np.diff(first), seen[first[1:]] - seen[first[:-1]], logs[first[1:]] - logs[first[:-1]]
+        for i in range(slices):
+            for a, b in parts:
+                symbols, place = keys_of(raw[a:b])
                 found = np.zeros(len(symbols))
+                mine = slice(None) if slices == 1 else np.flatnonzero(slice_of(symbols, slices) == i)
                 found[mine] = model(i).log10(symbols[mine])
-                score += np.add.reduceat(found, place[:-1])
-            out.append((np.diff(first), seen[first[1:]] - seen[first[:-1]], logs[first[1:]] - logs[first[:-1]], score))
-            at = stop
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 4
-        return pd.DataFrame({"id": docs_of["id"], "train": docs_of["train"], "words": cols[0], "known": cols[1], "logs": cols[2], "score": cols[3]})
+                cols[3, a:b] += np.add.reduceat(found, place[:-1])
+        return pd.DataFrame({"id": pd.Series(ids, dtype=object), "train": train, "words": cols[0].astype(np.int64), "known": cols[1].astype(np.int64), "logs": cols[2], "score": cols[3]})
 
-    kind = dict(df.dtypes)[id_col]
-    scored = docs.groupBy("block").cogroup(words.select("block", "key", "c").groupBy("block")).applyInPandas(block, f"id {kind}, train boolean, words long, known long, logs double, score double")
     ends = int(counted.where("kind = 0 and key = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    drop_table(counted)
+    kind = dict(df.dtypes)[id_col]
+    scored = words.select("block", "key", "c").groupBy("block").applyInPandas(block, f"id {kind}, train boolean, words long, known long, logs double, score double")
     of_all = math.log10(tokens + kinds + 1)
     return scored.select(
         F.col("id").alias(id_col), "train", (F.col("words") + 1).alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
