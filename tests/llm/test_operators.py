@@ -291,6 +291,25 @@ def test_search(spark, docs, none):
     assert top_k(docs, spark.createDataFrame([], "query_id long, text string")).count() == 0
 
 
+def test_search_takes_all_documents_as_queries(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from chunkloom.llm import registry, search
+
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)  # several blocks, the last one not full
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randint(0, 40)}" for _ in range(rng.randint(1, 60)))) for i in range(1, 205)]
+    rows += [(300 + i, rows[19][1]) for i in range(15)]  # copies of a query: ties at the last rank
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    name = next(n for n in registry.queries() if n.startswith("op9_"))
+    got = sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).select("query_id", "rank", "doc_id", "score").collect())
+    assert {r[0] for r in got} == {i for i, _ in rows if i % 20 == 0} and [r[2] for r in got if r[0] == 20] == [20, *range(300, 309)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(registry.oracle_sql()[name]).fetchall())
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
+
+
 def brute_components(rows: list[tuple]) -> tuple[dict, dict]:
     sets = {}
     for i, t in rows:
