@@ -6,7 +6,7 @@ text, in batches; windows vote by their number of bytes. Since a filter's answer
 applied as sums of rows of tables over byte pairs.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0, and so is every text if there is nothing to learn from; the
-rows learned from are a bounded number for each label, the first by a hash of their text; equal texts get equal
+texts learned from are a bounded number of different ones for each label, the first by a hash of the text; equal texts get equal
 answers; other columns are not read.
 """
 
@@ -119,10 +119,13 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], steps: int = 900, bat
 
 def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", texts_per_label: int = TEXTS_PER_LABEL) -> Network | None:
     """A network for the labels of rows that have a text and a label; None if there are none. The sample is bounded by
-    `texts_per_label` texts of each label and WINDOWS_PER_TEXT windows of each of these."""
+    `texts_per_label` different texts of each label and WINDOWS_PER_TEXT windows of each of these."""
     rows = df.select(F.col(text_col).alias("_text"), F.col(label_col).alias("_label")).where("_text is not null and _label is not null and length(_text) > 0")
-    first = Window.partitionBy("_label").orderBy(F.xxhash64("_text"), "_text")
-    rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= texts_per_label)
+    # Copies of a text are one: a large group of them would fill the label's sample. Hashes are ranked, so few texts are shuffled.
+    rows = rows.withColumn("_hash", F.xxhash64("_text"))
+    first = Window.partitionBy("_label").orderBy("_hash")
+    chosen = rows.select("_label", "_hash").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= texts_per_label)
+    rows = rows.join(F.broadcast(chosen.select("_label", "_hash")), ["_label", "_hash"], "left_semi").dropDuplicates(["_label", "_text"])
 
     def cut(it: Iterator[dict]) -> Iterator[dict]:
         for cols in it:

@@ -135,6 +135,19 @@ def test_language(spark, docs, none):
     assert fit(none) is None and predict(none, net).count() == 0 and by_id(predict(docs, None))[8][0].lang_pred == "und"
 
 
+def test_language_learns_from_different_texts(spark, monkeypatch):
+    from chunkloom.llm import language
+
+    # More copies than the sample holds, of the text that comes first by its hash.
+    texts = [(f"text number {i}", "en") for i in range(30)]
+    df = spark.createDataFrame(texts, "text string, lang string")
+    copied = df.orderBy("lang", language.F.xxhash64("text")).first().text
+    learned = []
+    monkeypatch.setattr(language, "train", lambda x, y, labels: learned.extend(bytes(w).rstrip(b"\0") for w in x))
+    language.fit(spark.createDataFrame(texts + [(copied, "en")] * 50, "text string, lang string"), texts_per_label=20)
+    assert len(learned) == 20 and len(set(learned)) == 20 and copied.encode() in learned
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
