@@ -27,3 +27,18 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in third.collect()} == {r[0] for r in rows} - {100, 101, 102}
     out = cp.run(spark, str(tmp_path))
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == set(got) and len(cp.STAGES) == 4
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(11)
+    text = lambda: "\n".join(" ".join(rng.choice(["the", "of", "thing", "with", "ring", "there"]) + str(rng.randint(0, 99)) for _ in range(20)) for _ in range(3))
+    clean = [(i, text(), "en", "s", 0) for i in [*range(20), None, None, 5, 5]]
+    rows = clean + [(None, clean[0][1], "en", "s", 0), (5, clean[1][1], "en", "s", 0)]  # copies of earlier texts
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = [sorted(((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect()), key=key) for _, stage in cp.STAGES[:3]]
+    assert got[0] == sorted(((r[0], r[1]) for r in rows), key=key)
+    assert got[1] == got[2] == sorted(((r[0], r[1]) for r in clean), key=key)
