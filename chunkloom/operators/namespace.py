@@ -11,14 +11,17 @@ from chunkloom.plans.scratch import cut
 
 
 def full_paths(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(node, depth, path) of every node that hangs on a root. Nodes on a cycle hang on none."""
+    """(node, depth, path) of every node that hangs on a root. Nodes on a cycle hang on none.
+    Nodes at `max_depth` or deeper are an error: left out, they would pass for unreachable."""
     found = level = cut(nodes.where("parent IS NULL").select("node", F.lit(0).alias("depth"), F.col("name").alias("path")))
     inner = nodes.where("parent IS NOT NULL").select("node", "parent", "name")
-    for depth in range(1, max_depth):
+    for depth in range(1, max_depth + 1):
         above = level.select(F.col("node").alias("parent"), "path")
         level = cut(inner.join(above, "parent").select("node", F.lit(depth).alias("depth"), F.concat_ws("/", "path", "name").alias("path")))
         if level.isEmpty():
             break
+        if depth == max_depth:
+            raise RuntimeError(f"there are nodes at depth {max_depth} or deeper")
         found = found.union(level)
     return found
 

@@ -140,3 +140,15 @@ def test_cycles(spark):
     nodes = spark.createDataFrame([(1, None, "r"), (2, 1, "a"), (3, 4, "b"), (4, 3, "c"), (5, 9, "d"), (6, 3, "e")], "node long, parent long, name string")
     assert {r.node for r in namespace.invalid_parents(nodes).collect()} == {3, 4, 5, 6}
     assert {r.path for r in namespace.full_paths(namespace.rename(nodes, 2, None, "top")).collect()} == {"r", "top"}
+
+
+def test_descent_beyond_max_depth_is_an_error(spark):
+    import pytest
+
+    from chunkloom.operators import namespace
+
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(4)], "node long, parent long, name string")
+    assert namespace.full_paths(nodes, 4).count() == 4 and namespace.invalid_parents(nodes, 4).isEmpty()
+    for plan in (namespace.full_paths, namespace.reachable, namespace.unreachable, namespace.invalid_parents):
+        with pytest.raises(RuntimeError, match="depth 3"):
+            plan(nodes, 3)
