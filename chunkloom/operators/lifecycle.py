@@ -48,11 +48,12 @@ def segment_stats(chunks: DataFrame) -> DataFrame:
 
 
 def compaction_candidates(stats: DataFrame, ratio: float) -> DataFrame:
-    """Sealed segments with enough garbage beside something alive."""
+    """Segments with enough garbage beside something alive. Whether they are sealed or pinned is not looked at."""
     return stats.where((F.col("live") > 0) & (F.col("garbage") > 0) & (F.col("garbage") / (F.col("live") + F.col("garbage")) >= ratio))
 
 
 def dead_segments(stats: DataFrame, now: int, delay: int) -> DataFrame:
+    """Segments all of whose chunks died long enough ago. Their state, pins and times of sealing are not looked at."""
     return stats.where(~F.col("blocked") & (F.col("dead_at") <= now - delay))
 
 
@@ -65,7 +66,8 @@ def valid_compactions(moved: DataFrame, current: DataFrame) -> DataFrame:
 
 def prune(dirents: DataFrame, inodes: DataFrame, chunks: DataFrame, segments: DataFrame) -> dict[str, DataFrame]:
     """What a checkpoint drops, in order: entries of folders that are not active; deleted inodes that no entry left names;
-    deleted, unreferenced chunks of missing or deleted segments; deleted segments without a chunk left."""
+    deleted, unreferenced chunks of missing or deleted segments; deleted segments without a chunk left.
+    Deleted manifests are not dropped."""
     active = inodes.where("state = 'ACTIVE'").select("inode")
     entries = dirents.join(active, dirents["parent"] == active["inode"], "left_semi")
     named = entries.select(F.col("child").alias("inode"))
