@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,10 +21,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary folder is used only where that is unset."""
+    """A new path in the folder that spark.checkpoint.dir names. Where that is unset, a temporary folder will do if driver
+    and executors are one process, and is an error otherwise: executors would not find one another's files."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="chunkloom-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/chunkloom/{name}-{uuid.uuid4().hex}"
@@ -101,7 +105,7 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], out: str, s
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node long, root long): the smallest node of the component of each node on an edge (u long, v long).
+    """(node, root): the smallest node of the component of each node on an edge (u, v), of longs or of binary keys.
 
     Alternating large and small stars; each round is written to the shared folder. A hot node's edges are
     joined, not grouped, so that adaptive execution can split them."""
@@ -117,7 +121,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        now = materialise(small, "edges")
+        before, now = now, materialise(small, "edges")
+        drop_table(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -10,13 +10,17 @@ Trees over a whole corpus would have full bitmaps near the root and prune nothin
 can only be similar if they share one of their n - ceil(0.8 n) + 1 rarest tokens, so sets chained by such tokens (and
 by sizes within 0.8) form blocks, found by a shuffle of those tokens alone; each block has a tree. Blocks of more than
 TILE_TOKENS tokens are cut by size into tiles, each a subtree, and pairs of tiles with compatible sizes are traversed in
-tasks of their own. Rarity is by counts in a fixed number of buckets, over all documents. No task holds an unbounded
-group, no pairs are listed, and nothing but a table of BUCKETS bytes goes through the driver. Rows that repeat an id must
-repeat the text.
+tasks of their own. Rarity is by counts in a fixed number of buckets, over all documents. Trees are traversed twice: with the leaves'
+bitmaps alone, which splits blocks into smaller ones, and then, for what is left in blocks, with whole sets.
+
+Equal sets are one class, told by 128 bits of a hash of the set. One plan holds at every size: texts are never shuffled, they are read
+three times and a task gives each class once. Tokens that are frequent, as those of a large group of near copies are, are dealt out
+by salts and chained in two steps. Of the token sets only those of blocks travel, which a bitmap of FILTER_BITS bits tells on the
+executors. The table of BUCKETS bytes and the bitmap are all that goes through the driver.
 
 Edge cases: null texts and texts without words have empty sets and are linked with nothing; fewer than five words are one
-shingle; equal sets are one class, however many rows have them, and linked by their rows' least id; rows with a null id count as one with
-the greatest id; repeated rows come out alike; other columns are not read.
+shingle; every row counts by itself, so rows that repeat an id, or have none, may have different texts; component_id is the least id
+that is not null, and null if a component has none; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,14 +31,17 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import arrow_map, components, gathered, materialise, read, small_or_shuffled
+from chunkloom.llm.common import arrow_map, components, gathered, materialise, read
 from chunkloom.llm.words import hashes, mix
 
 SHINGLE, BUCKETS = 5, 1 << 22
 #: 64-bit words of a bitmap; children of a node; tokens of a tile.
 BITMAP_WORDS, FANOUT, TILE_TOKENS = 32, 8, 2_000_000
-#: Rows (of one or three numbers) up to which a table is broadcast; beyond it, joins shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Pieces of counts that one task adds up; parts that the counts are cut into.
+PIECES, SEGMENTS = 256, 64
+#: Occurrences up to which a bucket's tokens are dealt as they are, and times the mean; more frequent ones are salted.
+HOT_TOKENS, HOT_MEAN = 1 << 16, 8
+FILTER_BITS = 1 << 26
 WEIGHTS = np.random.default_rng(5).integers(1, 1 << 62, SHINGLE, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -69,16 +76,20 @@ def similar(overlap, a, b):
     return 9 * overlap >= 4 * (a + b)
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Tokens folded into BITMAP_WORDS words."""
+    row = np.zeros(64 * BITMAP_WORDS, np.uint8)
+    row[((tokens >> np.uint64(20)) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)] = 1
+    return np.packbits(row, bitorder="little").tobytes()
+
+
 class Tree:
-    """A signature tree over sets in the order given: levels of bitmaps and size ranges, the leaves first."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        sizes = np.array([len(s) for s in sets], np.int64)
-        bits = np.zeros((len(sets), BITMAP_WORDS), np.uint64)
-        for row, s in zip(bits, sets, strict=True):
-            place = (s >> np.uint64(20)) % np.uint64(64 * BITMAP_WORDS)
-            np.bitwise_or.at(row, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    """A signature tree over sets in the order given, of their sizes and bitmaps: levels of bitmaps and size ranges, the leaves
+    first. Without the sets themselves, leaves whose bitmaps allow it count as similar."""
+
+    def __init__(self, sizes: list[int], bitmaps: list[bytes], sets: list[np.ndarray] | None = None):
+        self.sets, sizes = sets, np.array(sizes, np.int64)
+        bits = np.frombuffer(b"".join(bitmaps), np.uint64).reshape(len(bitmaps), BITMAP_WORDS)
         self.bits, self.low, self.high = [bits], [sizes], [sizes]
         # How many tokens of a set share a bit with another of its tokens: what a count of common bits may miss.
         self.folded = [sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)]
@@ -92,10 +103,9 @@ class Tree:
     def children(self, level: int, node: int) -> range:
         return range(node * FANOUT, min((node + 1) * FANOUT, len(self.bits[level - 1])))
 
-
     def leaves(self, level: int, node: int) -> range:
         wide = FANOUT**level
-        return range(node * wide, min((node + 1) * wide, len(self.sets)))
+        return range(node * wide, min((node + 1) * wide, len(self.bits[0])))
 
 
 class Groups:
@@ -145,181 +155,287 @@ def traverse(a: Tree, b: Tree, groups: Groups, shift: int, same: bool) -> None:
                 if not groups.one(a.leaves(na, p), b.leaves(nb, q), shift):
                     stack.append((na, p, nb, q))
             elif not (same and p == q) and groups.root(p) != groups.root(q + shift):
-                s, t = a.sets[p], b.sets[q]
-                if similar(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)):
+                if a.sets is None or similar(len(np.intersect1d(a.sets[p], b.sets[q], assume_unique=True)), len(a.sets[p]), len(b.sets[q])):
                     groups.join(p, q + shift)
 
 
+def node_of(key: bytes) -> int:
+    """48 bits of a class's key. Classes that share them by chance come into one block and are still told apart there."""
+    return int.from_bytes(key[:6], "little")
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts, most of which are below 255, in little room."""
+    import zlib
+
+    big = np.flatnonzero(counts >= 255)
+    return zlib.compress(np.array([len(big)], "<u8").tobytes() + big.astype("<u8").tobytes() + counts[big].astype("<u8").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes(), 1)
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    import zlib
+
+    raw = zlib.decompress(data)
+    n = int(np.frombuffer(raw, "<u8", 1)[0])
+    big, values = np.frombuffer(raw, "<u8", 2 * n, 8).reshape(2, n)
+    counts = np.frombuffer(raw, np.uint8, offset=8 + 16 * n).astype(np.uint64)
+    counts[big.astype(np.int64)] = values
+    return counts
+
+
 def set_rows(docs: DataFrame) -> DataFrame:
-    """Of (rid, text): rows (rid, n, key, null, null) for sets, and (null, null, null, segment, counts) for a task's token counts."""
+    """Of (rid, text): rows (rid, n, key, node, bits, null...) for sets, and (null, ..., segment, piece, counts) for a task's token
+    counts. Only the first row of a class in a task has its bitmap."""
 
     def work(it: Iterator[dict]) -> Iterator[dict]:
-        import zlib
+        from pyspark import TaskContext
 
-        count = np.zeros(BUCKETS, np.uint32)
+        count, seen = np.zeros(BUCKETS, np.uint32), set()
         for cols in gathered(it, "text", 2 << 20):
             sets = shingle_sets(cols["text"])
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             np.add(count, np.bincount((every % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32), out=count)
-            none = [None] * len(sets)
-            yield {"rid": cols["rid"], "n": [len(s) for s in sets], "key": [set_key(s) for s in sets], "segment": none, "counts": none}
-        step = BUCKETS // 64
-        for i in range(64 if count.any() else 0):
-            yield {"rid": [None], "n": [None], "key": [None], "segment": [i], "counts": [zlib.compress(count[i * step : (i + 1) * step].astype("<u4").tobytes(), 1)]}
+            none, keys, bits = [None] * len(sets), [set_key(s) for s in sets], []
+            for key, s in zip(keys, sets, strict=True):
+                bits.append(None if key in seen else bitmap(s))
+                seen.add(key)
+            yield {"rid": cols["rid"], "n": [len(s) for s in sets], "key": keys, "node": [node_of(k) for k in keys], "bits": bits, "segment": none, "piece": none, "counts": none}
+        step = BUCKETS // SEGMENTS
+        for i in range(SEGMENTS if count.any() else 0):
+            yield {"rid": [None], "n": [None], "key": [None], "node": [None], "bits": [None], "segment": [i], "piece": [TaskContext.get().partitionId()], "counts": [pack_counts(count[i * step : (i + 1) * step])]}
 
-    return arrow_map(docs, work, "rid long, n long, key binary, segment int, counts binary")
+    return arrow_map(docs, work, "rid long, n long, key binary, node long, bits binary, segment int, piece int, counts binary")
 
 
 def rarity(rows: DataFrame) -> np.ndarray:
-    """A level, 0 to 255, for each bucket of tokens: BUCKETS bytes."""
-    import zlib
+    """How often each bucket of tokens occurs. Tasks' counts are added PIECES at a time, in as many rounds as that takes."""
 
     def add(pdf):
         import pandas as pd
 
-        total = np.zeros(BUCKETS // 64, np.uint64)
+        total = np.zeros(BUCKETS // SEGMENTS, np.uint64)
         for c in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(c), "<u4")
-        level = np.minimum(np.floor(np.log2(total + 1.0) * 6), 255).astype(np.uint8)
-        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "levels": [level.tobytes()]})
+            total += unpack_counts(c)
+        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "piece": pdf["piece"].iloc[:1] // PIECES, "counts": [pack_counts(total)]})
+
+    parts = rows.where("segment is not null").select("segment", "piece", "counts")
+    last = parts.agg(F.max("piece")).first()[0] or 0
+    while True:
+        parts = parts.groupBy("segment", F.floor(F.col("piece") / PIECES).alias("_piece")).applyInPandas(add, "segment int, piece int, counts binary")
+        last //= PIECES
+        if not last:
+            break
+    counts = np.zeros((SEGMENTS, BUCKETS // SEGMENTS), np.uint64)
+    for r in parts.collect():
+        counts[r["segment"]] = unpack_counts(r["counts"])
+    return counts.reshape(-1)
+
 
-    # Each task's counts are cut into 64 segments; what meets in a group is one small piece for each input partition.
-    got = rows.where("segment is not null").select("segment", "counts").groupBy("segment").applyInPandas(add, "segment int, levels binary").collect()
-    levels = np.zeros((64, BUCKETS // 64), np.uint8)
-    for r in got:
-        levels[r["segment"]] = np.frombuffer(bytes(r["levels"]), np.uint8)
-    return levels.reshape(-1)
+def levels_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rarity level of each bucket, a byte; number of salts of each level) from the buckets' counts."""
+    level = np.minimum(np.floor(np.log2(counts + 1.0) * 6), 255).astype(np.uint8)
+    hot = max(HOT_TOKENS, HOT_MEAN * float(counts.mean()))
+    return level, np.ceil(2.0 ** ((np.arange(256) + 1) / 6) / hot).astype(np.int64)
 
 
 def prefix_rows(docs: DataFrame, levels) -> DataFrame:
-    """(token, rid, n) of the rarest tokens of each of the given texts."""
+    """(token, salt, node, n) of the rarest tokens of each class in a task; salt is -1 for tokens that are not frequent. 48 bits of
+    a token will do to find blocks."""
 
     def work(it: Iterator[dict]) -> Iterator[dict]:
         import pyarrow as pa
 
-        level = levels.value
+        level, salts = levels.value
+        seen: set[bytes] = set()
         for cols in gathered(it, "text", 2 << 20):
-            tokens, rid, size = [], [], []
-            for i, s in zip(cols["rid"], shingle_sets(cols["text"]), strict=True):
+            tokens, salt, node, size = [], [], [], []
+            for s in shingle_sets(cols["text"]):
                 n = len(s)
-                if n:
-                    k = n - -(-4 * n // 5) + 1
-                    order = np.lexsort((s, level[(s % np.uint64(BUCKETS)).astype(np.int64)]))[:k]
-                    tokens.append(s[order])
-                    rid += [i] * k
-                    size += [n] * k
-            yield {"token": pa.array((np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)).view(np.int64)), "rid": rid, "n": size}
-
-    return arrow_map(docs, work, "token long, rid long, n long")
+                if not n or (key := set_key(s)) in seen:
+                    continue
+                seen.add(key)
+                k = n - -(-4 * n // 5) + 1
+                rank = level[(s % np.uint64(BUCKETS)).astype(np.int64)]
+                order = np.lexsort((s, rank))[:k]
+                tokens.append(s[order])
+                many = salts[rank[order]]
+                salt.append(np.where(many > 1, node_of(key) % many, -1))
+                node.append(np.full(k, node_of(key)))
+                size.append(np.full(k, n))
+            join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            yield {"token": pa.array((join(tokens) >> np.uint64(16)).view(np.int64) if tokens else join(tokens)), "salt": pa.array(join(salt).astype(np.int32)), "node": pa.array(join(node).astype(np.int64)), "n": pa.array(join(size).astype(np.int64))}
+
+    return arrow_map(docs, work, "token long, salt int, node long, n long")
+
+
+class Numbered(Groups):
+    """Union-find over any longs, numbered as they come."""
+
+    def __init__(self):
+        super().__init__(0)
+        self.index: dict[int, int] = {}
+
+    def link(self, a: int, b: int) -> None:
+        for x in (a, b):
+            if x not in self.index:
+                self.index[x] = len(self.index)
+                self.up.append(len(self.up))
+        self.join(self.index[a], self.index[b])
+
+    def edges(self) -> list[tuple[int, int]]:
+        names = list(self.index)
+        return [(x, names[self.root(i)]) for i, x in enumerate(names) if self.root(i) != i]
 
 
 def chains(prefixes: DataFrame) -> DataFrame:
-    """Edges (u, v) between sets that share a rare token and whose sizes are within 0.8, or chained by such."""
-    dealt = prefixes.repartition("token").sortWithinPartitions("token", "n")
+    """Edges (u, v) between sets that share a rare token and whose sizes are within 0.8, or chained by such.
 
-    def work(it: Iterator[dict]) -> Iterator[dict]:
-        last_token, last_n, last_rid = None, 0, None
-        index: dict[int, int] = {}
-        groups = Groups(0)
+    Of a salted token, each part gives its runs of sizes, and a second step chains runs that come within 0.8 of one another."""
+    kind = "u long, v long, token long, lo long, hi long"
 
-        def number(r: int) -> int:
-            if r not in index:
-                index[r] = len(index)
-                groups.up.append(len(groups.up))
-            return index[r]
+    def rows(edges: list[tuple[int, int]]) -> dict:
+        none = [None] * len(edges)
+        return {"u": [a for a, _ in edges], "v": [b for _, b in edges], "token": none, "lo": none, "hi": none}
 
+    def first(it: Iterator[dict]) -> Iterator[dict]:
+        groups, held, low = Numbered(), None, 0
+        for cols in it:
+            now = np.array([cols[k] for k in ("token", "salt", "node", "n")], np.int64)
+            now = now if held is None else np.concatenate([held, now], axis=1)
+            token, salt, node, n = now
+            same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1]) & (5 * n[:-1] >= 4 * n[1:])
+            for i in np.flatnonzero(same & (node[1:] != node[:-1])).tolist():
+                groups.link(int(node[i]), int(node[i + 1]))
+            begin = np.r_[0, np.flatnonzero(~same) + 1]
+            lo = n[begin]
+            if held is not None:
+                lo[0] = low
+            done = np.flatnonzero(salt[begin[:-1]] >= 0)
+            if len(done):
+                at = begin[done]
+                yield {"u": node[at].tolist(), "v": [None] * len(at), "token": token[at].tolist(), "lo": lo[done].tolist(), "hi": n[begin[done + 1] - 1].tolist()}
+            held, low = now[:, -1:], int(lo[-1])
+        if held is not None and held[1, 0] >= 0:
+            yield {"u": [int(held[2, 0])], "v": [None], "token": [int(held[0, 0])], "lo": [low], "hi": [int(held[3, 0])]}
+        yield rows(groups.edges())
+
+    def second(it: Iterator[dict]) -> Iterator[dict]:
+        groups, token, top, node = Numbered(), None, 0, 0
         for cols in it:
-            token, n, rid = (np.array(cols[k], np.int64) for k in ("token", "n", "rid"))
-            t0, n0 = np.r_[token[:1] if last_token is None else last_token, token[:-1]], np.r_[last_n, n[:-1]]
-            r0 = np.r_[rid[:1] if last_rid is None else last_rid, rid[:-1]]
-            for i in np.flatnonzero((token == t0) & (5 * n0 >= 4 * n) & (rid != r0)):
-                groups.join(number(int(r0[i])), number(int(rid[i])))
-            last_token, last_n, last_rid = token[-1], n[-1], rid[-1]
-        rids = list(index)
-        pairs = [(rids[i], rids[groups.root(i)]) for i in range(len(rids)) if groups.root(i) != i]
-        yield {"u": [a for a, _ in pairs], "v": [b for _, b in pairs]}
+            for t, lo, hi, u in zip(cols["token"], cols["lo"], cols["hi"], cols["u"], strict=True):
+                if t == token and 4 * lo <= 5 * top:
+                    if u != node:
+                        groups.link(node, u)
+                    top = max(top, hi)
+                else:
+                    token, top, node = t, hi, u
+        yield rows(groups.edges())
 
-    return arrow_map(dealt, work, "u long, v long")
+    dealt = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "n")
+    found = materialise(arrow_map(dealt, first, kind), "chains")
+    runs = found.where("token is not null").repartition("token").sortWithinPartitions("token", "lo")
+    return found.where("token is null").select("u", "v").union(arrow_map(runs, second, kind).select("u", "v"))
 
 
 def tree_links(members: DataFrame) -> DataFrame:
-    """Edges (u, v) of the similar sets of tile pairs: members (task, side, rid, tokens binary), side 2 for a tile with itself."""
-    kind = "u long, v long"
+    """Edges (u, v) of the similar sets of tile pairs: members (task, side, key, n, bits, tokens), side 2 for a tile with itself;
+    without the column of tokens, of those whose bitmaps allow it."""
+    whole = "tokens" in members.columns
 
     def pair(pdf):
         import pandas as pd
 
-        sides = []
+        sides, keys = [], []
         for side in (0, 1, 2):
             part = pdf[pdf["side"] == side]
-            sets = [np.frombuffer(b, np.uint64) for b in part["tokens"]]
-            # Similar sets come next to each other: by size, then by their least token.
-            order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]) >> 32, len(sets[i])))
-            sides.append(([int(part["rid"].iloc[i]) for i in order], [sets[i] for i in order]))
-        if sides[2][0]:
-            rids, tree = sides[2][0], Tree(sides[2][1])
-            groups = Groups(len(rids))
-            traverse(tree, tree, groups, 0, True)
-        else:
-            rids = sides[0][0] + sides[1][0]
-            groups = Groups(len(rids))
-            if sides[0][0] and sides[1][0]:
-                traverse(Tree(sides[0][1]), Tree(sides[1][1]), groups, len(sides[0][0]), False)
-        linked = [(rids[i], rids[groups.root(i)]) for i in range(len(rids)) if groups.root(i) != i]
-        return pd.DataFrame(linked, columns=["u", "v"]).astype("int64")
+            sets = [np.frombuffer(b, np.uint64) for b in part["tokens"]] if whole else None
+            bits, sizes = list(part["bits"]), part["n"].tolist()
+            # Similar sets come next to each other: by size, and where it is known by their least token.
+            order = sorted(range(len(part)), key=lambda i: (int(sets[i][0]) >> 32, sizes[i]) if whole else (sizes[i], bits[i]))
+            keys += [part["key"].iloc[i] for i in order]
+            sides.append(Tree([sizes[i] for i in order], [bits[i] for i in order], [sets[i] for i in order] if whole else None) if order else None)
+        groups = Groups(len(keys))
+        if sides[2]:
+            traverse(sides[2], sides[2], groups, 0, True)
+        elif sides[0] and sides[1]:
+            traverse(sides[0], sides[1], groups, len(sides[0].bits[0]), False)
+        return pd.DataFrame([(keys[i], keys[groups.root(i)]) for i in range(len(keys)) if groups.root(i) != i], columns=["u", "v"])
+
+    return members.groupBy("task").applyInPandas(pair, "u binary, v binary")
+
+
+def id_filter(nodes: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, packed: set where a node (long) of the table falls. Its size does not depend on the table's."""
+    place = F.pmod("node", F.lit(FILTER_BITS)) + 1
+    parts = nodes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    found = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
+    for r in parts:
+        found[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    return found.reshape(-1)
+
+
+def token_rows(docs: DataFrame, wanted) -> DataFrame:
+    """(key, tokens binary) of the classes that pass the bitmap `wanted`, each once for a task."""
+
+    def work(it: Iterator[dict]) -> Iterator[dict]:
+        bits, seen = wanted.value, set()
+        for cols in gathered(it, "text", 2 << 20):
+            keys, tokens = [], []
+            for s in shingle_sets(cols["text"]):
+                key = set_key(s)
+                place = node_of(key) % FILTER_BITS
+                if len(s) and bits[place >> 3] >> (place & 7) & 1 and key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    tokens.append(s.tobytes())
+            yield {"key": keys, "tokens": tokens}
 
-    return members.groupBy("task").applyInPandas(pair, kind)
+    return arrow_map(docs, work, "key binary, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile_tokens: int = TILE_TOKENS) -> DataFrame:
     """(id, n_shingles long, component_id long) of each row; component_id is the least id reachable by links."""
-    spark = df.sparkSession
-    last = F.lit((1 << 63) - 1)
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), last).alias("rid"), F.col(text_col).alias("text"))
-    rows = materialise(set_rows(docs.select("rid", "text")), "sets")
+    sc = df.sparkSession.sparkContext
+    docs = df.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("text"))
+    rows = materialise(set_rows(docs), "sets")
     sets = rows.where("segment is null").select("rid", "n", "key")
-    levels = spark.sparkContext.broadcast(rarity(rows))
-    classes = materialise(sets.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"), F.first("n").alias("n")), "classes")
-    # One text of each class goes on. Only where rows repeat an id are texts shuffled to drop the repeats.
-    repeats = not sets.groupBy("rid").count().where("count > 1").isEmpty()
-
-    def texts(of: DataFrame) -> DataFrame:
-        found = docs.select("rid", "text").join(small_or_shuffled(of, BROADCAST_ROWS), "rid", "left_semi")
-        return found.dropDuplicates(["rid"]) if repeats else found
-
-    chosen = texts(classes.select("rid"))
-    edges = components(chains(prefix_rows(chosen, levels)))
-    # Sets that are chained with others, in their blocks; (block, size) order cuts large blocks into tiles.
-    found = materialise(edges.join(classes, edges["node"] == classes["rid"]).select("rid", F.col("root").alias("block"), "n"), "blocks")
-    members = materialise(tiles(found, tile_tokens), "tiles")
-
-    def tokens(it: Iterator[dict]) -> Iterator[dict]:
-        for cols in gathered(it, "text", 2 << 20):
-            yield {"rid": cols["rid"], "tokens": [s.tobytes() for s in shingle_sets(cols["text"])]}
-
-    wanted = texts(materialise(members.select("rid").distinct(), "members"))
-    links = tree_links(arrow_map(wanted, tokens, "rid long, tokens binary").join(small_or_shuffled(members, BROADCAST_ROWS), "rid"))
-    links = components(links)
-    label = classes.join(links, classes["rid"] == links["node"], "left").select("key", F.coalesce("root", "rid").alias("component"))
-    whole = sets.join(label, "key", "left").select("rid", "n", F.coalesce("component", "rid").alias("component")).groupBy("rid").agg(F.max("n").alias("n"), F.min("component").alias("component"))
-    found = docs.select("id", "rid").join(whole, "rid")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("component") != last, F.col("component")).alias("component_id"))
+    levels = sc.broadcast(levels_of(rarity(rows)))
+    of_class = rows.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("bits", ignorenulls=True).alias("bits"))
+    classes = materialise(of_class, "classes")
+
+    edges = components(chains(prefix_rows(docs, levels)))
+    # Classes that are chained with others, in their blocks; large blocks are cut into tiles.
+    chained = materialise(classes.drop("rid").join(edges.select("node", F.col("root").alias("block")), "node"), "blocks")
+    edges = components(tree_links(tiles(chained, tile_tokens)))
+    # What the bitmaps leave together.
+    chained = materialise(chained.drop("block").join(edges.select(F.col("node").alias("key"), F.xxhash64("root").alias("block")), "key"), "blocks")
+    wanted = sc.broadcast(id_filter(chained))
+    links = components(tree_links(token_rows(docs, wanted).join(tiles(chained, tile_tokens), "key")))
+
+    linked = classes.join(links, classes["key"] == links["node"]).select("key", "root", "rid")
+    least = linked.groupBy("root").agg(F.min("rid").alias("component"))
+    label = linked.join(least, "root").select("key", "component", F.lit(True).alias("linked"))
+    label = classes.join(label, "key", "left").select("key", F.when(F.col("linked"), F.col("component")).otherwise(F.col("rid")).alias("component"))
+    found = sets.join(label, "key", "left")
+    kind = dict(df.dtypes)[id_col]
+    return found.select(F.col("rid").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("rid")).alias("component_id"))
 
 
 def tiles(found: DataFrame, tile_tokens: int) -> DataFrame:
-    """(task, side, rid): the tile pairs that each set takes part in, of sets (rid, block, n).
+    """(task, side, key, n, bits): the tile pairs that each set takes part in, of sets (key, n, bits, block).
 
     A tile is a band of sizes, a factor of 1.25 wide, and of a band with more than `tile_tokens` tokens one of several parts
     by a hash. Similar sets lie in one band or in neighbouring ones, so a tile meets the tiles of its own band and of the next."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
     small = found.groupBy("block").agg(F.sum("n").alias("tokens")).where(F.col("tokens") <= tile_tokens).select("block", F.lit(True).alias("small"))
+    found = found.select("key", "n", "bits", "block")
     banded = found.join(small, "block", "left").withColumn("band", F.when(F.col("small"), F.lit(-1)).otherwise(band)).drop("small")
     size = banded.groupBy("block", "band").agg(F.ceil(F.sum("n") / F.lit(tile_tokens)).cast("int").alias("parts"))
     after = size.select("block", (F.col("band") - 1).alias("band"), F.col("parts").alias("next_parts")).where("band >= -1")
     before = size.select("block", (F.col("band") + 1).alias("band"), F.col("parts").alias("prior_parts"))
     known = size.join(after, ["block", "band"], "left").join(before, ["block", "band"], "left")
     known = known.withColumns({c: F.when(F.col("band") >= 0, F.coalesce(c, F.lit(0))).otherwise(0) for c in ("next_parts", "prior_parts")})
-    placed = banded.join(known, ["block", "band"]).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
+    placed = banded.join(known, ["block", "band"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     me = F.struct(F.col("band").alias("b"), F.col("part").alias("p"))
 
     def meets(other_band, count, side: int):
@@ -328,7 +444,7 @@ def tiles(found: DataFrame, tile_tokens: int) -> DataFrame:
         return F.transform(every, lambda p: F.struct(F.xxhash64("block", F.least(me, other(p)), F.greatest(me, other(p))).alias("task"), F.when(me == other(p), 2).when(me < other(p), 0).otherwise(1).alias("side")))
 
     tasks = F.concat(meets(F.col("band"), F.col("parts"), 0), meets(F.col("band") + 1, F.col("next_parts"), 0), meets(F.col("band") - 1, F.col("prior_parts"), 0))
-    return placed.select("rid", F.explode(tasks).alias("t")).select("t.task", "t.side", "rid")
+    return placed.select("key", "n", "bits", F.explode(tasks).alias("t")).select("t.task", "t.side", "key", "n", "bits")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
