@@ -5,13 +5,19 @@ Of the vocabulary's tokens that end a prefix, it is the only one that the encodi
 by, which two tokens alone decide. So distinct words go into a trie of bytes, a depth-first walk hands each node's
 last token down, and what words share at their beginnings is worked out once. Decoding looks each id's bytes up.
 
+Words of more than LONG_WORD bytes share nothing worth a trie and are walked alone, with two numbers for each byte. The library's
+own tables of letters, numbers and white space decide about words: texts with a code point on which Python's tables differ are
+cut into words by the library.
+
 Edge cases: null texts are empty and have no tokens; strings of added tokens in a text become those tokens, as in the
-library; ids outside the vocabulary decode to nothing; equal texts give equal ids; other columns are not read.
+library; ids outside the vocabulary decode to nothing; equal texts give equal ids; an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -23,8 +29,9 @@ from chunkloom.llm.common import arrow_map, gathered, read
 
 #: How byte-level tokenizers of this family cut texts into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Distinct words that a Python worker remembers the encodings of; beyond it, it starts afresh.
-CACHE_WORDS = 1_000_000
+#: Distinct words, and letters of them, that a Python worker remembers the encodings of; beyond either, it starts afresh.
+CACHE_WORDS, CACHE_LETTERS = 1_000_000, 16 << 20
+LONG_WORD = 2048
 
 
 @lru_cache(1)
@@ -35,6 +42,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(1)
+def disputed() -> str:
+    """A pattern of the code points that the library puts into another class than Python's tables do."""
+    from tokenizers import Regex, pre_tokenizers
+
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every = "".join(map(chr, points))
+    differ: set[str] = set()
+    for theirs, ours in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", r"\p{White_Space}")):
+        # Runs of the class and of the rest take turns; the first code point is in none.
+        runs = [span for _, span in pre_tokenizers.Split(Regex(theirs), "contiguous").pre_tokenize_str(every)]
+        of_library = {every[i] for a, b in runs[1::2] for i in range(a, b)}
+        differ |= of_library ^ set(regex.findall(ours, every))
+    return "[" + "".join(map(regex.escape, sorted(differ))) + "]" if differ else r"(?!)"
+
+
 class Codec:
     """A byte-level BPE vocabulary read from a tokenizers file."""
 
@@ -69,10 +92,18 @@ class Codec:
             self.age.setdefault(z, n)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
-        self.cut = regex.compile(WORDS)
+        self.cut, self.odd = regex.compile(WORDS), regex.compile(disputed())
         self.cut_added = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.fits: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
+        self.letters = 0
+
+    def words(self, text: str) -> list[str]:
+        if text.isascii() or not self.odd.search(text):
+            return self.cut.findall(text)
+        from tokenizers import pre_tokenizers
+
+        return [text[a:b] for _, (a, b) in pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the encoding of a's and b's bytes is a, b: no merge across the border comes before the merges
@@ -98,11 +129,35 @@ class Codec:
         self.fits[a << 32 | b] = ok
         return ok
 
+    def encode_long(self, word: bytes) -> tuple[int, ...]:
+        """The ids of one word, by the walk of `learn` on a path without branches."""
+        last, size = array("i"), array("i")
+        for depth in range(len(word)):
+            at, here, ends = depth, 0, []
+            while at >= 0 and (here := self.back.get(here << 8 | word[at], 0)):
+                if self.back_token[here] >= 0:
+                    ends.append((self.back_token[here], at))
+                at -= 1
+            token, at = next(((t, a) for t, a in reversed(ends) if not a or self.follows(last[a - 1], t)), (-1, 0))
+            if token < 0:
+                raise ValueError(f"the vocabulary has no token for byte {word[depth]}")
+            last.append(token)
+            size.append(depth + 1 - at)
+        ids, at = array("i"), len(word)
+        while at:
+            ids.append(last[at - 1])
+            at -= size[at - 1]
+        return tuple(reversed(ids))
+
     def learn(self, words: set[str]) -> None:
         """Encodes distinct words by one walk over their trie. A node is the dict of its children by byte; at -1 it
         has the word that ends there."""
         root: dict = {}
         for word in words:
+            self.letters += len(word)
+            if len(word) > LONG_WORD:
+                self.known[word] = self.encode_long(word.encode())
+                continue
             node = root
             for byte in word.encode():
                 child = node.get(byte)
@@ -148,14 +203,15 @@ class Codec:
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         pieces: list[list[str | int]] = []  # of each text: lists of words, and ids of added tokens
         missing: set[str] = set()
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.letters > CACHE_LETTERS:
             self.known.clear()
+            self.letters = 0
         if len(self.fits) > 4 * CACHE_WORDS:
             self.fits.clear()
-        find = self.cut.findall
+        find = self.words
         for text in texts:
             parts, at = [], 0
-            for m in self.cut_added.finditer(text or "") if self.cut_added and "<|" in (text or "") else ():
+            for m in self.cut_added.finditer(text or "") if any(x in (text or "") for x in self.added) else ():
                 parts += [find(text[at : m.start()]), self.added[m[0]]]
                 at = m.end()
             parts.append(find((text or "")[at:]))

@@ -7,6 +7,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ def texts() -> list[tuple]:
     near[3] = "changed"
     rows = [
         (1, shared + "\n" + line(30)), (2, None), (3, ""), (4, "   \n\t "), (5, " ".join(near)), (6, shared), (7, shared), (8, BASE * 3), (9, (BASE + line(9) + "\n") * 40),
-        (10, "one two"), (11, "ONE two"), (12, "x"), (13, "1234 5678"), (14, "a" * 3000), (15, line(400)), (None, line(40)), (20, shared), (20, shared), (40, line(60) + "\n" + shared), (41, "\n\n"),
+        (10, "one two"), (11, "ONE two"), (12, "x"), (13, "1234 5678"), (14, "a" * 3000), (15, line(400)), (None, line(40)), (20, shared), (20, shared), (40, line(60) + "\n" + shared), (41, "\n\n"), (42, "\t" + shared.replace(" ", " \t", 9) + "\r\n" + line(8)),
     ]
     return [(i, t, None if i == 10 else "en", "k", "r", "b", 1, "i", "t") for i, t in rows]
 
@@ -72,6 +73,31 @@ def test_bpe_equals_the_library(docs, none):
     for s in ["".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for _ in range(400)]:
         assert own.encode_batch([s])[0] == lib.encode(s, add_special_tokens=False).ids, repr(s)
     assert own.decode([50257 + 9]) == "" and own.decode([255]) == lib.decode([255])
+    # Every code point next to letters, digits, an apostrophe and blanks, over all planes.
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 3000):
+        s = "".join(f"{chr(c)}'s a{chr(c)} {chr(c)}1" for c in points[at : at + 3000])
+        assert own.encode_batch([s])[0] == lib.encode(s, add_special_tokens=False).ids, hex(points[at])
+    long_words = ["x" * 5000, "".join(rng.choice("abcdefgh") for _ in range(9000)), "é" * 4000]
+    assert [own.encode_batch([w])[0] for w in long_words] == [lib.encode(w, add_special_tokens=False).ids for w in long_words]
+
+
+def test_bpe_takes_a_very_long_word():
+    """In a process of its own, whose address space is bounded."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+resource.setrlimit(resource.RLIMIT_AS, (1 << 30, 1 << 30))
+import public_tokenizers as P
+from chunkloom.llm.tokens import Codec
+own = Codec(P.path("byte_bpe_50k.json"))
+word = "ab" * 1_000_000
+ids = own.encode_batch([word])[0]
+assert own.decode(ids) == word
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, cwd=__import__("pathlib").Path(__file__).resolve().parents[2])
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -107,7 +133,7 @@ def test_line_dedup(docs, none):
     for i, t in sorted({(i, t) for i, t, *_ in texts()}, key=lambda r: (r[0] is None, r[0] or 0)):
         kept = []
         for line in (t or "").split("\n"):
-            w = line.rstrip("\t\r\x0b\f ").lower().split(" ")
+            w = re.sub("[\t\r\x0b\f]", " ", line).lower().split(" ")
             w = [x for x in w if x]
             s = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None
             if s is None or not any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen):
@@ -355,6 +381,30 @@ def test_jaccard(spark, docs, none, tile):
         edge = by_id(jaccard_components(docs))
         assert edge[None][0].component_id is None and len(edge[20]) == 2 and edge[7][0].component_id == 5
         assert jaccard_components(none).count() == 0
+        # Rows without an id, and rows that repeat one, are documents of their own.
+        odd = [(None, " ".join(base)), (None, "a b c d e f"), (None, None), (7, " ".join(base[:78])), (7, "one two three"), (9, "one two three"), (9, ""), (None, "a b c d e f")]
+        got = jaccard_components(spark.createDataFrame(odd, "doc_id long, text string")).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == [(-1, 0, -1), (-1, 2, -1), (-1, 2, -1), (-1, 76, 7), (7, 1, 7), (7, 74, 7), (9, 0, 9), (9, 1, 7)]
+
+
+def test_jaccard_deals_frequent_tokens_out(spark, monkeypatch):
+    from chunkloom.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "HOT_TOKENS", 6)
+    monkeypatch.setattr(jaccard, "HOT_MEAN", 0)
+    rng = random.Random(12)
+    rows = []
+    for g in range(3):  # groups of near copies, of different sizes
+        base = [f"g{g}w{k}" for k in range(60 + 9 * g)]
+        for j in range(30):
+            w = base[: len(base) - j % 25]
+            w[rng.randrange(len(w))] = f"other{g}_{j}"
+            rows.append((len(rows), " ".join(w)))
+    counts = jaccard.rarity(jaccard.set_rows(spark.createDataFrame(rows, "rid long, text string").repartition(3)))
+    assert counts.sum() == sum(len(s) for s in jaccard.shingle_sets([t for _, t in rows])) and jaccard.levels_of(counts)[1].max() > 1
+    got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    size, label = brute_components(rows)
+    assert {i: r[0].component_id for i, r in got.items()} == label and {i: r[0].n_shingles for i, r in got.items()} == size
 
 
 def test_components(spark):
