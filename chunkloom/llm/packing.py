@@ -13,28 +13,55 @@ of the input are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkloom.llm.common import arrow_map, gathered, materialise, rank_within, read
+from chunkloom.llm.tokens import byte_letters
 
 CAPACITY, END_ID = 4096, 1
-#: How the tokenizer cuts normalised texts into words.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-#: Latin letters that need no Unicode normalisation: texts of others go through the library whole.
-PLAIN = "[^\x00-ɏ‐-‧€]"
-#: Words whose ids are remembered, and words that the library gets at once: what it returns is large.
-CACHE_WORDS, LIBRARY_WORDS = 400_000, 4096
+#: Code points that need no Unicode normalisation, as spans: texts with others go through the library whole.
+PLAIN = ((0x00, 0x24F), (0x2010, 0x2027), (0x20AC, 0x20AC))
+#: Words whose ids are remembered.
+CACHE_WORDS = 400_000
+
+
+@lru_cache(1)
+def plain_words() -> re.Pattern:
+    """How the tokenizer cuts normalised texts of PLAIN code points into words; the library tells letters, numbers and blanks."""
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(chr(c) for a, b in PLAIN for c in range(a, b + 1))
+
+    def of(kind: str) -> str:
+        # Runs of the kind and of the rest take turns; the first code point is in none.
+        runs = pre_tokenizers.Split(Regex(kind), "contiguous").pre_tokenize_str(every)[1::2]
+        return "".join(re.escape(every[i]) for _, (a, b) in runs for i in range(a, b))
+
+    letters, numbers, blanks = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
+    return re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{letters}]+|[{numbers}]|[^{blanks}{letters}{numbers}]+")
+
+
+class Known(dict):
+    """Numbers words as they are looked up; `new` has those that came last."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
 
 
 class WordTokenizer:
-    """Token ids as little-endian 32-bit bytes; remembers the ids of words, which the library finds."""
+    """Token ids as little-endian 32-bit bytes; remembers the ids of words, which the library's model finds."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,31 +69,34 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words, self.odd = regex.compile(WORDS), regex.compile(PLAIN)
-        self.known: dict[str, bytes] = {}
+        self.words = plain_words()
+        self.odd = re.compile("[^" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in PLAIN) + "]")
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.known, self.ids = Known(), []
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def word(self, word: str) -> bytes:
+        spelt = word if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
+        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(spelt))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found: list[list[str] | bytes] = []
-        missing: set[str] = set()
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self.ids = Known(), []
+        found: list[list[int] | bytes] = []
+        number, cut = self.known.__getitem__, self.words.findall
         for text in texts:
-            if self.odd.search(text) or any(s in text for s in self.added):
-                found.append(self.whole([text])[0])
-                continue
-            words = self.words.findall(text.lower())
-            missing.update(words)
-            found.append(words)
-        todo = list(missing - self.known.keys())
-        for i in range(0, len(todo), LIBRARY_WORDS):
-            part = todo[i : i + LIBRARY_WORDS]
-            self.known.update(zip(part, self.whole(part), strict=True))
-        get = self.known.__getitem__
-        return [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in found]
+            if (not text.isascii() and self.odd.search(text)) or any(s in text for s in self.added):
+                found.append(self.whole(text))
+            else:
+                found.append(list(map(number, cut(text.lower()))))
+        self.ids += map(self.word, self.known.new)
+        self.known.new.clear()
+        ids = self.ids.__getitem__
+        return [x if isinstance(x, bytes) else b"".join(map(ids, x)) for x in found]
 
 
 @lru_cache(2)
