@@ -7,6 +7,7 @@ do not depend on earlier ones: they are found for a whole object at once, and on
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -66,6 +67,14 @@ def chunk_sizes(data: bytes, low: int, avg: int, high: int) -> list[int]:
     return sizes
 
 
+def manifest_digest(scope: str, file_hash: str, size: int, kind: str, refs: list[dict]) -> str:
+    """The same address as `manifest_id` gives, of references in order."""
+    found = hashlib.sha256(b"\0".join([b"manifest", scope.encode(), file_hash.encode()]) + b"\0" + size.to_bytes(8, "little") + kind.encode() + b"\0")
+    for r in refs:
+        found.update(r["chunk_id"].encode() + r["file_offset"].to_bytes(8, "little") + r["chunk_size"].to_bytes(8, "little"))
+    return found.hexdigest()
+
+
 def cut_function(low: int, avg: int, high: int):
     @F.pandas_udf("array<long>")
     def cut(data: pd.Series) -> pd.Series:

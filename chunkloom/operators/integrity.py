@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The checks of a report on health, in order.
-STATES = ("CLOSED", "CORRUPT", "READ_ONLY", "DEGRADED", "OK")
-
 
 def range_chunks(refs: DataFrame, offset: int, length: int) -> DataFrame:
     """The chunk references that a byte range touches, with the part of each: comparisons that reach the scan."""
@@ -53,7 +50,19 @@ def affected_files(refs: DataFrame, bad: DataFrame, path: str = "path") -> DataF
 
 
 def segments_without_chunks(segments: DataFrame, chunks: DataFrame) -> DataFrame:
-    return segments.join(chunks.where("state <> 'DELETED'").select("segment_id"), "segment_id", "left_anti")
+    """Segments, but deleted ones, in which no chunk is left that is not deleted."""
+    return segments.where("state <> 'DELETED'").join(chunks.where("state <> 'DELETED'").select("segment_id"), "segment_id", "left_anti")
+
+
+def chunks_without_segment(chunks: DataFrame, segments: DataFrame) -> DataFrame:
+    """Chunks, but deleted ones, whose segment is missing or deleted."""
+    return chunks.where("state <> 'DELETED'").join(segments.where("state <> 'DELETED'").select("segment_id"), "segment_id", "left_anti")
+
+
+def chunks_per_segment(chunks: DataFrame, segments: DataFrame) -> DataFrame:
+    """(segment_id, chunks): chunks that are not deleted in each segment that is not."""
+    usable = segments.where("state <> 'DELETED'").select("segment_id")
+    return chunks.where("state <> 'DELETED'").join(usable, "segment_id", "left_semi").groupBy("segment_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 def only_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -61,22 +70,55 @@ def only_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right.select(key), key, "left_anti")
 
 
-def diagnose(findings: list[tuple[DataFrame, str, str, bool]], key: str) -> DataFrame:
-    """(kind, severity, repairable, subject) from (rows, kind, severity, repairable) of each kind of finding."""
+def diagnose(findings: dict[str, DataFrame], key: str) -> DataFrame:
+    """(kind, severity, repairable, subject) of the rows found of each kind of issue."""
     out = None
-    for rows, kind, severity, repairable in findings:
-        part = rows.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.lit(repairable).alias("repairable"), F.col(key).cast("string").alias("subject"))
+    for kind, rows in findings.items():
+        part = rows.select(F.lit(kind).alias("kind"), F.lit(SEVERITY[kind]).alias("severity"), F.lit(kind in REPAIRS).alias("repairable"), F.col(key).cast("string").alias("subject"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
+#: What repairs each kind of issue that can be repaired.
+REPAIRS = {"staging_leftover": "clean_staging", "orphan_segment": "clean_orphan_segment", "compacting_segment": "reset_compacting", "missing_segment": "mark_corrupt"}
+#: Severity of each kind of issue.
+SEVERITY = {
+    "staging_leftover": "info", "orphan_segment": "warn", "missing_segment": "error", "compacting_segment": "warn", "corrupt_chunk": "error",
+    "corrupt_segment": "error", "chunk_without_segment": "error", "segment_without_chunks": "warn", "metadata_log_torn_tail": "warn",
+}
+
+
 def repair_plan(issues: DataFrame, most: int = 0) -> DataFrame:
     """(action, subject) for what can be repaired, in a fixed order; `most` of 0 means all."""
-    action = F.create_map(*[F.lit(x) for pair in (("staging_leftover", "remove_file"), ("orphan_segment", "remove_file"), ("missing_segment", "mark_corrupt"), ("compacting_segment", "reset_sealed")) for x in pair])
+    action = F.create_map(*[F.lit(x) for pair in REPAIRS.items() for x in pair])
     plan = issues.where("repairable").select(F.element_at(action, F.col("kind")).alias("action"), "subject").orderBy("action", "subject")
     return plan.limit(most) if most > 0 else plan
 
 
+def counts(inodes: DataFrame, manifests: DataFrame, chunks: DataFrame, segments: DataFrame) -> DataFrame:
+    """One row: active inodes, objects and folders, manifests, chunks and segments by state, and bytes. Deleted chunks have no bytes;
+    corrupt ones and candidates have. An unknown state of a chunk counts as active, and of a segment as sealed."""
+    state, kind = F.col("state"), F.col("kind")
+    none = F.lit(0).cast("long")
+    total = lambda column, when: F.coalesce(F.sum(F.when(when, F.col(column))), none)
+    parts = [
+        inodes.where("state = 'ACTIVE'").agg(F.count(F.lit(1)).alias("inodes"), F.count_if(kind == "FILE").alias("objects"), F.count_if(kind == "DIR").alias("directories"), total("size", kind == "FILE").alias("logical_bytes")),
+        manifests.agg(F.count_if(state != "DELETED").alias("manifests_active"), F.count_if(state == "DELETED").alias("manifests_deleted")),
+        chunks.agg(
+            F.count_if(~state.isin("GARBAGE_CANDIDATE", "DELETED", "CORRUPT")).alias("chunks_active"), F.count_if(state == "GARBAGE_CANDIDATE").alias("chunks_candidate"), F.count_if(state == "DELETED").alias("chunks_deleted"),
+            F.count_if(state == "CORRUPT").alias("chunks_corrupt"), total("raw_size", state != "DELETED").alias("raw_bytes"), total("stored_size", state != "DELETED").alias("stored_bytes"),
+        ),
+        segments.agg(
+            F.count_if(~state.isin("COMPACTING", "DELETED", "CORRUPT")).alias("segments_sealed"), F.count_if(state == "COMPACTING").alias("segments_compacting"),
+            F.count_if(state == "DELETED").alias("segments_deleted"), F.count_if(state == "CORRUPT").alias("segments_corrupt"),
+        ),
+    ]
+    row = parts[0]
+    for part in parts[1:]:  # of one row each
+        row = row.select("*", *(part.select(c).scalar().alias(c) for c in part.columns))
+    return row
+
+
 def health(facts: DataFrame) -> DataFrame:
     """(status) of one row of facts: booleans closed, corrupt, unreadable, unwritable, degraded; the first that holds counts."""
     status = F.when(F.col("closed"), "CLOSED").when(F.col("corrupt"), "CORRUPT").when(F.col("unreadable") | F.col("unwritable"), "READ_ONLY").when(F.col("degraded"), "DEGRADED").otherwise("OK")

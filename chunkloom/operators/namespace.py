@@ -1,6 +1,6 @@
 """Trees of named nodes: full paths, listing, reachability, and the changes that rename and make folders.
 
-Nodes are rows (node, parent, name); roots have a null parent. Levels are found by joins of what the last one found."""
+Nodes are rows (node, parent, name); roots have a null parent."""
 
 from __future__ import annotations
 
@@ -10,33 +10,48 @@ from pyspark.sql import functions as F
 from chunkloom.plans.scratch import cut
 
 
-def full_paths(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(node, depth, path) of every node that hangs on a root. Nodes on a cycle hang on none.
-    Nodes at `max_depth` or deeper are an error: left out, they would pass for unreachable."""
-    found = level = cut(nodes.where("parent IS NULL").select("node", F.lit(0).alias("depth"), F.col("name").alias("path")))
-    inner = nodes.where("parent IS NOT NULL").select("node", "parent", "name")
-    for depth in range(1, max_depth + 1):
-        above = level.select(F.col("node").alias("parent"), "path")
-        level = cut(inner.join(above, "parent").select("node", F.lit(depth).alias("depth"), F.concat_ws("/", "path", "name").alias("path")))
-        if level.isEmpty():
-            break
-        if depth == max_depth:
-            raise RuntimeError(f"there are nodes at depth {max_depth} or deeper")
-        found = found.union(level)
-    return found
+def full_paths(nodes: DataFrame) -> DataFrame:
+    """(node, depth, path) of every node that hangs on a root. Nodes on a cycle, or without their parent, hang on none.
 
+    Each round doubles the way that a node knows of its path, so a tree of any depth takes about as many rounds as its depth has
+    binary digits. A round that brings no node to its root is the last: had there been deeper ones, their
+    ancestors half way up would have got there in it."""
+    known = cut(nodes.select("node", F.col("parent").alias("up"), F.lit(0).alias("depth"), F.col("name").alias("path")))
+    found = known.where("up IS NULL")
+    open_ = known.where("up IS NOT NULL").withColumn("depth", F.lit(1))
+    while True:
+        above = found.unionByName(open_).select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        joined = cut(open_.join(above, "up").select("node", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.concat_ws("/", "_path", "path").alias("path")))
+        there = joined.where("up IS NULL")
+        if there.isEmpty():
+            return found.select("node", "depth", "path")
+        found, open_ = found.unionByName(there), joined.where("up IS NOT NULL")
 
-def reachable(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
-    return full_paths(nodes, max_depth).select("node")
 
+def reachable(nodes: DataFrame) -> DataFrame:
+    return full_paths(nodes).select("node")
 
-def unreachable(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
-    return nodes.join(reachable(nodes, max_depth), "node", "left_anti")
 
+def unreachable(nodes: DataFrame) -> DataFrame:
+    return nodes.join(reachable(nodes), "node", "left_anti")
 
-def invalid_parents(nodes: DataFrame, max_depth: int = 1000) -> DataFrame:
+
+def reachable_by_entries(roots: DataFrame, entries: DataFrame) -> DataFrame:
+    """(node) that entries (parent, node) lead to from roots (node), by doubling as `full_paths` does. A node may have several entries."""
+    found = cut(roots.select("node").distinct())
+    open_ = cut(entries.select("node", F.col("parent").alias("up")).distinct().join(found, "node", "left_anti"))
+    while True:
+        above = open_.select(F.col("node").alias("up"), F.col("up").alias("_up")).unionByName(found.select(F.col("node").alias("up"), F.lit(None).cast("long").alias("_up")))
+        joined = cut(open_.join(above, "up").select("node", F.col("_up").alias("up")).distinct())
+        there = cut(joined.where("up IS NULL").select("node").distinct())
+        if there.isEmpty():
+            return found
+        found, open_ = found.union(there), joined.where("up IS NOT NULL").join(there, "node", "left_anti")
+
+
+def invalid_parents(nodes: DataFrame) -> DataFrame:
     """Nodes whose way up never ends in a root: their parent is missing, or they are on a cycle or below one."""
-    return unreachable(nodes, max_depth).select("node", F.lit("inode_parent_invalid").alias("kind"))
+    return unreachable(nodes).select("node", F.lit("inode_parent_invalid").alias("kind"))
 
 
 def list_dir(nodes: DataFrame, parent: int) -> DataFrame:

@@ -11,20 +11,25 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chunkloom.operators.namespace import latest
 from chunkloom.schemas import OPERATION
-from chunkloom.sources.txlog import KINDS, key, live
+from chunkloom.sources.txlog import KINDS, data_path, key, live
 
 
 def follow(spark: SparkSession, log: str, states: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Keeps `states`/<batch> at the fold of the log; `once` ends with what is there now."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        kind, name = key()
-        new = batch.where(batch["type"].isin(*KINDS)).select("*", kind, name)
+        session = batch.sparkSession
+        operations = batch.drop("data")
+        # Large transactions name the folder that has their operations.
+        folders = [r[0] for r in batch.where("data IS NOT NULL").select("data").collect()]
+        if folders:
+            operations = operations.unionByName(session.read.schema(OPERATION).json([data_path(log, x) for x in folders]))
+        new = operations.where(operations["type"].isin(*KINDS)).select("*", *key())
         if number:
-            new = new.unionByName(batch.sparkSession.read.parquet(f"{states}/{number - 1}"))
+            new = new.unionByName(session.read.parquet(f"{states}/{number - 1}"))
         latest(new, ["kind", "key"], ["txid", "op_idx"]).write.mode("overwrite").parquet(f"{states}/{number}")
 
-    writer = spark.readStream.schema(OPERATION).json(log).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    writer = spark.readStream.schema(f"{OPERATION}, data string").json(log).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

@@ -122,9 +122,14 @@ def test_dedup_and_marks(spark):
     )
     marks = {r.chunk_id: (r.new_state, r.new_seen) for r in lifecycle.mark_garbage(chunks, 100, 1, 2).collect()}
     assert marks == {"a": ("GARBAGE_CANDIDATE", 1), "b": ("DELETED", 2)}
-    stats = lifecycle.segment_stats(chunks)
-    assert {r.segment_id for r in lifecycle.dead_segments(stats, 100, 60).collect()} == {"t"} and lifecycle.dead_segments(stats, 99, 60).count() == 0
-    assert {(r.live, r.garbage) for r in lifecycle.compaction_candidates(stats, 0.7).collect()} == {(7, 20)}
+    segments = [("s", "SEALED", 0, 0, 0), ("t", "SEALED", 0, 0, 0), ("u", "SEALED", 0, 30, 1), ("v", "SEALED", 0, 0, 35), ("w", "SEALED", 41, 0, 0), ("x", "DELETED", 0, 0, 1), ("y", "CORRUPT", 0, 0, 1)]
+    segments = spark.createDataFrame(segments, "segment_id string, state string, compacted_at long, sealed_at long, created_at long")
+    stats = lifecycle.segment_stats(chunks, segments)
+    dead = lambda now, pins=None: {r.segment_id for r in lifecycle.dead_segments(stats, now, 60, pins).collect()}
+    pins = spark.createDataFrame([("t",), ("s",)], "segment_id string")
+    assert dead(100) == {"t", "u", "v"} and dead(99) == {"u", "v"} and dead(101) == {"t", "u", "v", "w"} and dead(100, pins) == {"u", "v"}
+    assert {(r.live, r.garbage) for r in lifecycle.compaction_candidates(stats, 0.7).collect()} == {(7, 20)} and lifecycle.compaction_candidates(stats, 0.7, pins).isEmpty()
+    assert lifecycle.compaction_candidates(stats.withColumn("state", F.lit("COMPACTING")), 0.7).isEmpty()
 
 
 def test_ranges(spark):
@@ -142,13 +147,29 @@ def test_cycles(spark):
     assert {r.path for r in namespace.full_paths(namespace.rename(nodes, 2, None, "top")).collect()} == {"r", "top"}
 
 
-def test_descent_beyond_max_depth_is_an_error(spark):
-    import pytest
+def test_deep_trees(spark):
+    chain = [(i, i - 1 if i else None, f"n{i}") for i in range(1501)]
+    nodes = spark.createDataFrame([*chain, (5000, 4999, "lost"), (5001, 5000, "lost too")], "node long, parent long, name string")
+    assert {r.node for r in namespace.unreachable(nodes).collect()} == {5000, 5001}
+    deepest = namespace.full_paths(nodes).orderBy(F.desc("depth")).first()
+    assert deepest.depth == 1500 and deepest.path == "/".join(n for _, _, n in chain)
+    entries = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (1, 3), (8, 9), (9, 8)], "parent long, node long")
+    assert {r.node for r in namespace.reachable_by_entries(spark.createDataFrame([(1,)], "node long"), entries).collect()} == {1, 2, 3}
 
-    from chunkloom.operators import namespace
 
-    nodes = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(4)], "node long, parent long, name string")
-    assert namespace.full_paths(nodes, 4).count() == 4 and namespace.invalid_parents(nodes, 4).isEmpty()
-    for plan in (namespace.full_paths, namespace.reachable, namespace.unreachable, namespace.invalid_parents):
-        with pytest.raises(RuntimeError, match="depth 3"):
-            plan(nodes, 3)
+def test_paths_of_the_file_system_and_times(spark):
+    df = spark.createDataFrame([("/t//a/./b",), ("\\t\\a",), ("t/../a",), ("c:/x",), ("/",), ("t/" + "x" * 300,)], "p string")
+    assert [r[0] for r in df.select(paths.file_system_parts(F.col("p"))).collect()] == [["t", "a", "b"], ["t", "a"], None, None, [], None]
+    times = spark.createDataFrame([(1, 2, 3), (0, 2, 3), (0, 0, 3)], "a long, b long, c long")
+    assert [r[0] for r in times.select(paths.modified(F.col("a"), F.col("b"), F.col("c"))).collect()] == [1, 2, 3]
+
+
+def test_long_checksums():
+    import os
+
+    for n in (0, 1, 2047, 2048, 5000, 70_001):
+        data = os.urandom(n)
+        table, crc = codecs.castagnoli().tolist(), 0xFFFFFFFF
+        for b in data:
+            crc = table[(crc ^ b) & 255] ^ (crc >> 8)
+        assert codecs.crc32c_bytes(data) == crc ^ 0xFFFFFFFF == codecs.crc32c_many([data, b"x"])[0]
