@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chunkloom.functions import codecs, hashing, paths
 from chunkloom.operators import chunking, ingest, integrity, lifecycle, namespace
+from chunkloom.plans import stores
 from chunkloom.plans import tables as t
 
 QUERIES: dict = {}
@@ -266,46 +267,65 @@ def gc_mark_confirm2(spark, sf):
     return _mark(spark, sf, 2)
 
 
-STATS = f"""{t.CHUNKS}, stats AS (SELECT segment_id, CAST(sum(CASE WHEN state <> 'DELETED' AND ref_count > 0 THEN length ELSE 0 END) AS BIGINT) AS live,
-  CAST(sum(CASE WHEN state = 'DELETED' OR ref_count <= 0 THEN length ELSE 0 END) AS BIGINT) AS garbage, max(CASE WHEN state = 'DELETED' THEN deleted_at ELSE 0 END) AS dead_at,
-  bool_or(state <> 'DELETED' OR deleted_at = 0) AS blocked FROM chunks GROUP BY 1)"""
+#: A segment that has chunks which are not deleted, or whose time of deletion is not known, may not go.
+STATS = f"""{t.CHUNKS}, {t.SEGMENTS}, pins AS (SELECT o_orderkey AS segment_id FROM orders WHERE o_orderkey % 11 = 0), stats AS (SELECT s.segment_id, s.state, s.sealed_at, s.created_at,
+  CAST(coalesce(sum(CASE WHEN c.state <> 'DELETED' AND c.ref_count > 0 THEN c.length END), 0) AS BIGINT) AS live,
+  CAST(coalesce(sum(CASE WHEN c.state = 'DELETED' OR c.ref_count = 0 THEN c.length END), 0) AS BIGINT) AS garbage,
+  greatest(s.compacted_at, coalesce(max(CASE WHEN c.state = 'DELETED' THEN c.deleted_at END), 0)) AS dead_at,
+  count(CASE WHEN c.state <> 'DELETED' OR c.deleted_at = 0 THEN 1 END) > 0 AS blocked
+  FROM segments s LEFT JOIN chunks c ON c.segment_id = s.segment_id GROUP BY s.segment_id, s.state, s.sealed_at, s.created_at, s.compacted_at)"""
+
+
+def _stats(spark, sf) -> DataFrame:
+    return lifecycle.segment_stats(t.chunk_records(spark, sf), t.segment_records(spark, sf))
 
 
 @query(f"WITH {STATS} SELECT * FROM stats")
 def segment_gc_stats(spark, sf):
-    return lifecycle.segment_stats(t.chunk_records(spark, sf))
+    return _stats(spark, sf)
 
 
-@query(f"WITH {STATS} SELECT segment_id, live, garbage FROM stats WHERE live > 0 AND garbage > 0 AND garbage / (live + garbage) >= 0.6")
+@query(f"WITH {STATS} SELECT segment_id, live, garbage FROM stats WHERE state = 'SEALED' AND segment_id NOT IN (SELECT segment_id FROM pins) AND live > 0 AND garbage > 0 AND garbage / (live + garbage) >= 0.6")
 def compaction_candidates(spark, sf):
-    return lifecycle.compaction_candidates(lifecycle.segment_stats(t.chunk_records(spark, sf)), 0.6).select("segment_id", "live", "garbage")
+    return lifecycle.compaction_candidates(_stats(spark, sf), 0.6, t.pinned(spark, sf)).select("segment_id", "live", "garbage")
 
 
-@query(f"WITH {STATS} SELECT segment_id, garbage, dead_at FROM stats WHERE NOT blocked AND dead_at <= {t.NOW - t.DELAY}")
+@query(
+    f"""WITH {STATS}, d AS (SELECT segment_id, garbage, CASE WHEN dead_at <> 0 THEN dead_at WHEN sealed_at <> 0 THEN sealed_at ELSE created_at END AS dead_at FROM stats
+      WHERE state NOT IN ('DELETED', 'CORRUPT') AND NOT blocked AND segment_id NOT IN (SELECT segment_id FROM pins)) SELECT * FROM d WHERE dead_at <= {t.NOW - t.DELAY}"""
+)
 def dead_segments(spark, sf):
-    return lifecycle.dead_segments(lifecycle.segment_stats(t.chunk_records(spark, sf)), t.NOW, t.DELAY).select("segment_id", "garbage", "dead_at")
+    return lifecycle.dead_segments(_stats(spark, sf), t.NOW, t.DELAY, t.pinned(spark, sf)).select("segment_id", "garbage", "dead_at")
 
 
 @query(
-    f"""WITH {t.CHUNKS}, moved AS (SELECT chunk_id, segment_id + CASE WHEN line > 5 THEN 1 ELSE 0 END AS source FROM chunks WHERE ref_count > 0)
-    SELECT source, bool_and(coalesce(segment_id = source AND state <> 'DELETED' AND ref_count > 0, false)) AS valid FROM moved LEFT JOIN chunks USING (chunk_id) GROUP BY 1"""
+    f"""WITH {t.CHUNKS}, moved AS (SELECT chunk_id, segment_id + CASE WHEN line > 5 THEN 1 ELSE 0 END AS source, "offset" + CASE WHEN segment_id % 7 = 0 AND line = 4 THEN 1 ELSE 0 END AS place,
+      length + CASE WHEN segment_id % 9 = 0 AND line = 3 THEN 1 ELSE 0 END AS size FROM chunks WHERE ref_count > 0)
+    SELECT m.source, count(CASE WHEN c.segment_id = m.source AND c."offset" = m.place AND c.length = m.size AND c.state <> 'DELETED' AND c.ref_count > 0 THEN 1 END) = count(*) AS valid
+    FROM moved m LEFT JOIN chunks c USING (chunk_id) GROUP BY 1"""
 )
 def compaction_validate(spark, sf):
     c = t.chunk_records(spark, sf)
-    moved = c.where("ref_count > 0").select("chunk_id", (F.col("segment_id") + F.when(F.col("line") > 5, 1).otherwise(0)).alias("source"))
+    off = lambda column, every, line: (F.col(column) + F.when((F.col("segment_id") % every == 0) & (F.col("line") == line), 1).otherwise(0)).alias(column)
+    moved = c.where("ref_count > 0").select("chunk_id", (F.col("segment_id") + F.when(F.col("line") > 5, 1).otherwise(0)).alias("source"), off("offset", 7, 4), off("length", 9, 3))
     return lifecycle.valid_compactions(moved, c)
 
 
 def _prune(spark, sf) -> dict[str, DataFrame]:
     nodes = t.tree(spark, sf)
-    inodes = nodes.select(F.col("node").alias("inode"), F.when(F.col("node") % 7 == 3, "DELETED").otherwise("ACTIVE").alias("state"))
+    file = F.col("node") >= 10_000_000_000
+    inodes = nodes.select(F.col("node").alias("inode"), F.when(F.col("node") % 7 == 3, "DELETED").otherwise("ACTIVE").alias("state"), F.when(file, "FILE").otherwise("DIR").alias("kind"), F.when(file, F.col("node") % 97).alias("manifest_id"))
     dirents = nodes.where("parent IS NOT NULL").select("parent", F.col("node").alias("child"))
-    return lifecycle.prune(dirents, inodes, t.chunk_records(spark, sf), t.segment_records(spark, sf).select("segment_id", "state"))
+    manifests = spark.range(200).select(F.col("id").alias("manifest_id"), F.when(F.col("id") % 3 == 0, "DELETED").otherwise("ACTIVE").alias("state"), (F.col("id") % 2).alias("ref_count"))
+    tenants = nodes.where("parent IS NULL").select(F.col("node").alias("inode"))
+    return lifecycle.prune(dirents, inodes, t.chunk_records(spark, sf), t.segment_records(spark, sf).select("segment_id", "state"), manifests, tenants)
 
 
-PRUNE = f"""{t.TREE}, {t.CHUNKS}, {t.SEGMENTS}, inodes AS (SELECT node AS inode, CASE WHEN node % 7 = 3 THEN 'DELETED' ELSE 'ACTIVE' END AS state FROM nodes),
-  e AS (SELECT parent, node AS child FROM nodes WHERE parent IN (SELECT inode FROM inodes WHERE state = 'ACTIVE')),
-  gone AS (SELECT inode FROM inodes WHERE state = 'DELETED' AND inode NOT IN (SELECT child FROM e)),
+PRUNE = f"""{t.TREE}, {t.CHUNKS}, {t.SEGMENTS}, inodes AS (SELECT node AS inode, CASE WHEN node % 7 = 3 THEN 'DELETED' ELSE 'ACTIVE' END AS state, CASE WHEN node >= 10000000000 THEN 'FILE' ELSE 'DIR' END AS kind,
+    CASE WHEN node >= 10000000000 THEN node % 97 END AS manifest_id FROM nodes),
+  e AS (SELECT parent, node AS child FROM nodes WHERE parent IN (SELECT inode FROM inodes WHERE state = 'ACTIVE' AND kind = 'DIR')),
+  kept AS (SELECT * FROM inodes WHERE state <> 'DELETED' OR inode IN (SELECT child FROM e) OR inode IN (SELECT node FROM nodes WHERE parent IS NULL)),
+  manifests AS (SELECT range AS manifest_id, CASE WHEN range % 3 = 0 THEN 'DELETED' ELSE 'ACTIVE' END AS state, range % 2 AS ref_count FROM range(200)),
   dropped AS (SELECT chunk_id FROM chunks WHERE state = 'DELETED' AND ref_count <= 0 AND segment_id NOT IN (SELECT segment_id FROM segments WHERE state <> 'DELETED'))"""
 
 
@@ -314,19 +334,24 @@ def prune_dirents(spark, sf):
     return _prune(spark, sf)["dirents"].select("parent", "child")
 
 
-@query(f"WITH {PRUNE} SELECT inode, state FROM inodes WHERE inode NOT IN (SELECT inode FROM gone)")
+@query(f"WITH {PRUNE} SELECT inode, state FROM kept")
 def prune_inodes(spark, sf):
     return _prune(spark, sf)["inodes"].select("inode", "state")
 
 
+@query(f"WITH {PRUNE} SELECT manifest_id FROM manifests WHERE state <> 'DELETED' OR ref_count > 0 OR manifest_id IN (SELECT manifest_id FROM kept WHERE state = 'ACTIVE' AND kind = 'FILE')")
+def prune_manifests(spark, sf):
+    return _prune(spark, sf)["manifests"].select("manifest_id")
+
+
 @query(f"WITH {PRUNE} SELECT segment_id, count(*) AS n FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM dropped) GROUP BY 1")
 def prune_chunks(spark, sf):
     return _prune(spark, sf)["chunks"].groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {PRUNE} SELECT segment_id FROM segments WHERE state = 'DELETED' AND segment_id NOT IN (SELECT segment_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM dropped))")
+@query(f"WITH {PRUNE} SELECT segment_id FROM segments WHERE state <> 'DELETED' OR segment_id IN (SELECT segment_id FROM chunks WHERE chunk_id NOT IN (SELECT chunk_id FROM dropped))")
 def prune_segments(spark, sf):
-    return _prune(spark, sf)["segments"]
+    return _prune(spark, sf)["segments"].select("segment_id")
 
 
 RANGE = (1000, 5000)
@@ -357,20 +382,32 @@ def orphan_segments(spark, sf):
     return integrity.only_in(files, t.segment_records(spark, sf).where("state <> 'COMPACTING'"), "segment_id")
 
 
-@query("SELECT o_orderkey AS segment_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+#: Segments whose file is there are those of an order that has lines.
+FILES = "files AS (SELECT DISTINCT l_orderkey AS segment_id FROM lineitem WHERE l_linenumber <> 3)"
+
+
+def _files(spark, sf) -> DataFrame:
+    return t.table(spark, sf, "lineitem").where("l_linenumber <> 3").select(F.col("l_orderkey").alias("segment_id")).distinct()
+
+
+@query(f"WITH {t.SEGMENTS}, {FILES} SELECT segment_id FROM segments WHERE state <> 'DELETED' AND segment_id NOT IN (SELECT segment_id FROM files)")
 def missing_segments(spark, sf):
-    return integrity.only_in(t.segment_records(spark, sf).select("segment_id"), t.chunk_records(spark, sf), "segment_id")
+    return integrity.only_in(t.segment_records(spark, sf).where("state <> 'DELETED'").select("segment_id"), _files(spark, sf), "segment_id")
 
 
-@query(f"WITH {t.CHUNKS}, {t.SEGMENTS} SELECT segment_id, state FROM segments WHERE segment_id NOT IN (SELECT segment_id FROM chunks WHERE state <> 'DELETED')")
+@query(f"WITH {t.CHUNKS}, {t.SEGMENTS} SELECT segment_id, state FROM segments WHERE state <> 'DELETED' AND segment_id NOT IN (SELECT segment_id FROM chunks WHERE state <> 'DELETED')")
 def segment_without_chunks(spark, sf):
     return integrity.segments_without_chunks(t.segment_records(spark, sf).select("segment_id", "state"), t.chunk_records(spark, sf))
 
 
-@query(f"WITH {t.CHUNKS}, {t.SEGMENTS} SELECT segment_id, count(*) AS n FROM chunks WHERE segment_id NOT IN (SELECT segment_id FROM segments WHERE state <> 'DELETED') GROUP BY 1")
+@query(f"WITH {t.CHUNKS}, {t.SEGMENTS} SELECT segment_id, count(*) AS n FROM chunks WHERE state <> 'DELETED' AND segment_id NOT IN (SELECT segment_id FROM segments WHERE state <> 'DELETED') GROUP BY 1")
 def chunk_without_segment(spark, sf):
-    alive = t.segment_records(spark, sf).where("state <> 'DELETED'")
-    return integrity.only_in(t.chunk_records(spark, sf), alive, "segment_id").groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"))
+    return integrity.chunks_without_segment(t.chunk_records(spark, sf), t.segment_records(spark, sf)).groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {t.CHUNKS}, {t.SEGMENTS} SELECT segment_id, count(*) AS chunks FROM chunks JOIN segments USING (segment_id) WHERE chunks.state <> 'DELETED' AND segments.state <> 'DELETED' GROUP BY 1")
+def chunks_per_segment(spark, sf):
+    return integrity.chunks_per_segment(t.chunk_records(spark, sf), t.segment_records(spark, sf))
 
 
 @query(
@@ -393,23 +430,26 @@ def health_status(spark, sf):
 
 
 def _issues(spark, sf) -> DataFrame:
-    segments, chunks = t.segment_records(spark, sf), t.chunk_records(spark, sf)
-    return integrity.diagnose(
-        [
-            (segments.where("state = 'COMPACTING'"), "compacting_segment", "warning", True),
-            (integrity.only_in(segments.select("segment_id"), chunks, "segment_id"), "missing_segment", "error", True),
-            (integrity.segments_without_chunks(segments, chunks), "segment_without_chunks", "warning", False),
-            (integrity.only_in(chunks, segments.where("state <> 'DELETED'"), "segment_id").select("segment_id").distinct(), "chunk_without_segment", "error", False),
-        ],
-        "segment_id",
-    )
-
-
-ISSUES = f"""{t.CHUNKS}, {t.SEGMENTS}, issues AS (
-  SELECT 'compacting_segment' AS kind, 'warning' AS severity, true AS repairable, CAST(segment_id AS VARCHAR) AS subject FROM segments WHERE state = 'COMPACTING'
-  UNION ALL SELECT 'missing_segment', 'error', true, CAST(segment_id AS VARCHAR) FROM segments WHERE segment_id NOT IN (SELECT segment_id FROM chunks)
-  UNION ALL SELECT 'segment_without_chunks', 'warning', false, CAST(segment_id AS VARCHAR) FROM segments WHERE segment_id NOT IN (SELECT segment_id FROM chunks WHERE state <> 'DELETED')
-  UNION ALL SELECT DISTINCT 'chunk_without_segment', 'error', false, CAST(segment_id AS VARCHAR) FROM chunks WHERE segment_id NOT IN (SELECT segment_id FROM segments WHERE state <> 'DELETED'))"""
+    segments, chunks, files = t.segment_records(spark, sf), t.chunk_records(spark, sf), _files(spark, sf)
+    of = lambda df, column: df.select(F.col(column).cast("string").alias("subject"))
+    found = {
+        "compacting_segment": of(segments.where("state = 'COMPACTING'"), "segment_id"),
+        "corrupt_segment": of(segments.where("state = 'CORRUPT'"), "segment_id"),
+        "missing_segment": of(integrity.only_in(segments.where("state <> 'DELETED'"), files, "segment_id"), "segment_id"),
+        "segment_without_chunks": of(integrity.segments_without_chunks(segments, chunks), "segment_id"),
+        "chunk_without_segment": of(integrity.chunks_without_segment(chunks, segments).select("segment_id").distinct(), "segment_id"),
+        "orphan_segment": of(integrity.only_in(files, segments.where("state <> 'DELETED'"), "segment_id"), "segment_id"),
+    }
+    return integrity.diagnose(found, "subject")
+
+
+ISSUES = f"""{t.CHUNKS}, {t.SEGMENTS}, {FILES}, good AS (SELECT segment_id FROM segments WHERE state <> 'DELETED'), issues AS (
+  SELECT 'compacting_segment' AS kind, 'warn' AS severity, true AS repairable, CAST(segment_id AS VARCHAR) AS subject FROM segments WHERE state = 'COMPACTING'
+  UNION ALL SELECT 'corrupt_segment', 'error', false, CAST(segment_id AS VARCHAR) FROM segments WHERE state = 'CORRUPT'
+  UNION ALL SELECT 'missing_segment', 'error', true, CAST(segment_id AS VARCHAR) FROM good WHERE segment_id NOT IN (SELECT segment_id FROM files)
+  UNION ALL SELECT 'segment_without_chunks', 'warn', false, CAST(segment_id AS VARCHAR) FROM good WHERE segment_id NOT IN (SELECT segment_id FROM chunks WHERE state <> 'DELETED')
+  UNION ALL SELECT DISTINCT 'chunk_without_segment', 'error', false, CAST(segment_id AS VARCHAR) FROM chunks WHERE state <> 'DELETED' AND segment_id NOT IN (SELECT segment_id FROM good)
+  UNION ALL SELECT 'orphan_segment', 'warn', true, CAST(segment_id AS VARCHAR) FROM files WHERE segment_id NOT IN (SELECT segment_id FROM good))"""
 
 
 @query(f"WITH {ISSUES} SELECT * FROM issues")
@@ -417,7 +457,10 @@ def diagnose_issues(spark, sf):
     return _issues(spark, sf)
 
 
-@query(f"WITH {ISSUES} SELECT CASE kind WHEN 'missing_segment' THEN 'mark_corrupt' ELSE 'reset_sealed' END AS action, subject FROM issues WHERE repairable ORDER BY 1, 2 LIMIT 100")
+@query(
+    f"""WITH {ISSUES} SELECT CASE kind WHEN 'missing_segment' THEN 'mark_corrupt' WHEN 'orphan_segment' THEN 'clean_orphan_segment' ELSE 'reset_compacting' END AS action, subject
+    FROM issues WHERE repairable ORDER BY 1, 2 LIMIT 100"""
+)
 def repair_plan(spark, sf):
     return integrity.repair_plan(_issues(spark, sf), 100)
 
@@ -455,8 +498,8 @@ def payload_roundtrip(spark, sf):
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | stores.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | stores.SQL

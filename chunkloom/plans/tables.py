@@ -34,22 +34,37 @@ def chunk_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         day.alias("created_at"),
         F.when(flag == "R", day).otherwise(0).cast("long").alias("deleted_at"),
         F.lit(1).alias("seen"),
+        (F.col("l_linenumber") * 100).cast("long").alias("offset"),
     )
 
 
 CHUNKS = """chunks AS (SELECT l_orderkey AS segment_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS chunk_id, l_linenumber AS line,
   CASE WHEN l_returnflag = 'R' THEN 'DELETED' ELSE 'ACTIVE' END AS state, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END AS ref_count,
-  CAST(floor(l_quantity) AS BIGINT) AS length, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS created_at,
+  CAST(floor(l_quantity) AS BIGINT) AS length, CAST(l_linenumber * 100 AS BIGINT) AS "offset", date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS created_at,
   CASE WHEN l_returnflag = 'R' THEN date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) ELSE 0 END AS deleted_at FROM lineitem)"""
 
 
 def segment_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.col("o_orderstatus")
-    state = F.when(status == "P", "COMPACTING").when(status == "F", "SEALED").otherwise("DELETED")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("segment_id"), state.alias("state"), F.col("o_custkey").alias("owner"))
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    status, priority, none = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1), F.lit(0).cast("long")
+    state = F.when(status == "P", "COMPACTING").when((status == "O") & (priority == "1"), "CORRUPT").when((status == "O") & (priority == "2"), "DELETED").otherwise("SEALED")
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("segment_id"),
+        state.alias("state"),
+        F.when(F.col("o_custkey") % 3 == 0, none).otherwise(day).alias("sealed_at"),
+        (day - 5).alias("created_at"),
+        F.when(F.col("o_custkey") % 5 == 0, day + 40).otherwise(none).alias("compacted_at"),
+    )
+
+
+SEGMENTS = """segments AS (SELECT segment_id, state, CASE WHEN c % 3 = 0 THEN 0 ELSE day END AS sealed_at, day - 5 AS created_at, CASE WHEN c % 5 = 0 THEN day + 40 ELSE 0 END AS compacted_at FROM (
+  SELECT o_orderkey AS segment_id, o_custkey AS c, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day,
+  CASE WHEN o_orderstatus = 'P' THEN 'COMPACTING' WHEN o_orderstatus = 'O' AND o_orderpriority LIKE '1%' THEN 'CORRUPT' WHEN o_orderstatus = 'O' AND o_orderpriority LIKE '2%' THEN 'DELETED' ELSE 'SEALED' END AS state FROM orders))"""
 
 
-SEGMENTS = "segments AS (SELECT o_orderkey AS segment_id, CASE o_orderstatus WHEN 'P' THEN 'COMPACTING' WHEN 'F' THEN 'SEALED' ELSE 'DELETED' END AS state FROM orders)"
+def pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that readers hold."""
+    return table(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select(F.col("o_orderkey").alias("segment_id"))
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
