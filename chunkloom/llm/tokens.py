@@ -17,6 +17,7 @@ not read.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from functools import lru_cache
 from itertools import chain
@@ -42,20 +43,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: The most frequent code points, on which all tables agree.
+AGREED = re.compile("[^\x00-\u024f\u0370-\u0377\u0400-\u052f\u2010-\u2027\u20ac]")
+
+
 @lru_cache(1)
-def disputed() -> str:
-    """A pattern of the code points that the library puts into another class than Python's tables do."""
+def disputed() -> frozenset[str]:
+    """The code points that the library puts into another class than Python's tables do."""
     from tokenizers import Regex, pre_tokenizers
 
-    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    every = "".join(map(chr, points))
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     differ: set[str] = set()
     for theirs, ours in ((r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}"), (r"\s", r"\p{White_Space}")):
         # Runs of the class and of the rest take turns; the first code point is in none.
         runs = [span for _, span in pre_tokenizers.Split(Regex(theirs), "contiguous").pre_tokenize_str(every)]
         of_library = {every[i] for a, b in runs[1::2] for i in range(a, b)}
         differ |= of_library ^ set(regex.findall(ours, every))
-    return "[" + "".join(map(regex.escape, sorted(differ))) + "]" if differ else r"(?!)"
+    return frozenset(differ)
 
 
 class Codec:
@@ -92,14 +96,14 @@ class Codec:
             self.age.setdefault(z, n)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
-        self.cut, self.odd = regex.compile(WORDS), regex.compile(disputed())
+        self.cut, self.odd = regex.compile(WORDS), disputed()
         self.cut_added = regex.compile("|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.fits: dict[int, bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.letters = 0
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or not self.odd.search(text):
+        if text.isascii() or not AGREED.search(text) or self.odd.isdisjoint(text):
             return self.cut.findall(text)
         from tokenizers import pre_tokenizers
 
