@@ -452,3 +452,17 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_ngram_jaccard": op10_ngram_jaccard}
+
+ORACLE_SQL = {
+    "op10_ngram_jaccard": r"""WITH RECURSIVE words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM words),
+    keyed AS (SELECT r, doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS k, s FROM sets),
+    classes AS (SELECT k, min(doc_id) AS least, any_value(n) AS n, any_value(s) AS s FROM keyed WHERE n > 0 GROUP BY k),
+    tokens AS (SELECT k, unnest(s) AS t FROM classes),
+    pairs AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM tokens a JOIN tokens b ON a.t = b.t AND a.k < b.k GROUP BY 1, 2),
+    links AS (SELECT p.a, p.b FROM pairs p JOIN classes x ON x.k = p.a JOIN classes y ON y.k = p.b WHERE 100 * p.c >= 80 * (x.n + y.n - p.c)),
+    ends AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT k, k AS m FROM classes UNION SELECT reach.k, ends.b FROM reach JOIN ends ON reach.m = ends.a),
+    labels AS (SELECT reach.k, min(classes.least) AS component FROM reach JOIN classes ON classes.k = reach.m GROUP BY 1)
+    SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE component END AS component_id FROM keyed LEFT JOIN labels USING (k)"""
+}

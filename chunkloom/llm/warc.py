@@ -218,3 +218,11 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_warc": op2_warc}
+
+ORACLE_SQL = {
+    "op2_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(encode(html)) AS h, max(page_id) OVER (PARTITION BY html) AS best FROM p),
+    digits AS (SELECT *, list_transform(range(1, 41), lambda i: CAST(strpos('0123456789abcdef', h[i]) - 1 AS INTEGER)) AS x FROM d),
+    bits AS (SELECT *, flatten(list_transform(x, lambda v: [v // 8, v // 4 % 2, v // 2 % 2, v % 2])) AS b FROM digits)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(16 * b[5 * i + 1] + 8 * b[5 * i + 2] + 4 * b[5 * i + 3] + 2 * b[5 * i + 4] + b[5 * i + 5] + 1 AS BIGINT), 1)), '') AS payload_digest,
+    CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to FROM bits"""
+}
