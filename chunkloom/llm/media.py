@@ -118,6 +118,9 @@ def probe_bytes(data: bytes) -> dict:
     timescale, duration = struct.unpack_from(">II", data, mdhd + 12) if data[mdhd] == 0 else struct.unpack_from(">IQ", data, mdhd + 20)
     codec = data[table(b"stsd") + 12 : table(b"stsd") + 16].decode("latin-1").strip()
     fixed, n = struct.unpack_from(">II", data, table(b"stsz") + 4)
+    # Counts are believed only as far as the file has room for what they count.
+    if n * (fixed or 4) > len(data):
+        raise ValueError(f"there is no room for {n} samples")
     sizes = [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, table(b"stsz") + 12))
     at, form = (table(b"stco"), "I") if table(b"stco") is not None else (table(b"co64"), "Q")
     (chunks,) = struct.unpack_from(">I", data, at + 4)
