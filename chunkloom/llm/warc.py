@@ -5,8 +5,8 @@ Reading plans partitions from whole files, small ones together. A reader parses
 the pushed predicates on them, and only then takes the payload; unwanted payloads are passed over undecoded.
 
 Edge cases: a null payload is an empty one; rows with equal payloads, empty ones included, become one response (the
-largest id) and revisits; null ids are written as an empty id and read back as null; an empty table writes no records; other
-columns of the input are not read. A record that is cut off, or that has no valid length, raises ValueError.
+largest id) and revisits; null ids are written as an empty id and read back as null; a null URI is `page:` and the id; an empty table
+writes no records; other columns of the input are not read. A record that is cut off, or that has no valid length, raises ValueError.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from chunkloom.llm.common import read, shared_dir
 
 END = "\r\n"
 VERSION = "WARC/1.1"
+#: The profile of records that repeat the payload of another one, a fixed value of the format.
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, content_length long, headers map<string,string>, payload binary"
 #: Columns that header lines decide, with the names of the lines.
 HEADER_COLUMNS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest", "content_length": "content-length"}
@@ -47,14 +49,17 @@ def base32_of_hex(hexed: F.Column) -> F.Column:
     return F.concat(*out)
 
 
-def plan_records(df: DataFrame, id_col: str, payload_col: str) -> DataFrame:
-    """(id, payload string, digest, record_type, refers_to): of equal payloads, the largest id is the response."""
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(payload_col, F.lit("")).alias("payload"))
+def plan_records(df: DataFrame, id_col: str, payload_col: str, uri_col: str | None = None) -> DataFrame:
+    """(id, uri, payload string, digest, record_type, refers_to): of equal payloads, the largest id is the response. Payloads are told
+    apart by two hashes and their length, so that two with the same SHA-1 are both kept."""
+    uri = F.col(uri_col).cast("string") if uri_col else F.lit(None).cast("string")
+    rows = df.select(F.col(id_col).alias("id"), uri.alias("uri"), F.coalesce(payload_col, F.lit("")).alias("payload"))
     rows = rows.withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
-    best = rows.groupBy("sha1").agg(F.max("id").alias("best"))
-    rows = rows.join(best, "sha1")
+    rows = rows.withColumn("same", F.concat_ws("-", "sha1", F.xxhash64("payload"), F.octet_length("payload")))
+    best = rows.groupBy("same").agg(F.max("id").alias("best"))
+    rows = rows.join(best, "same")
     revisit = F.col("best").isNotNull() & ~F.col("id").eqNullSafe(F.col("best"))
-    return rows.select("id", "payload", base32_of_hex(F.col("sha1")).alias("digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("best")).alias("refers_to"))
+    return rows.select("id", "uri", "payload", base32_of_hex(F.col("sha1")).alias("digest"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("best")).alias("refers_to"))
 
 
 def write_archives(records: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z", records_per_file: int = 50_000) -> None:
@@ -64,7 +69,7 @@ def write_archives(records: DataFrame, path: str, date: str = "2020-01-01T00:00:
     revisit = F.col("record_type") == "revisit"
     lines = [
         F.lit(VERSION), F.concat(F.lit("WARC-Type: "), "record_type"), F.concat(F.lit("WARC-Record-ID: <urn:page:"), text("id"), F.lit(">")), F.lit(f"WARC-Date: {date}"),
-        F.concat(F.lit("WARC-Target-URI: page:"), text("id")), F.concat(F.lit("WARC-Payload-Digest: sha1:"), "digest"), F.concat(F.lit("X-Full-Length: "), full),
+        F.concat(F.lit("WARC-Target-URI: "), F.coalesce(F.regexp_replace("uri", "[\\r\\n ]", "%20"), F.concat(F.lit("page:"), text("id")))), F.when(revisit, F.lit(f"WARC-Profile: {REVISIT}")), F.concat(F.lit("WARC-Payload-Digest: sha1:"), "digest"), F.concat(F.lit("X-Full-Length: "), full),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), text("refers_to"), F.lit(">"))), F.lit("Content-Type: text/html"), F.concat(F.lit("Content-Length: "), F.when(revisit, "0").otherwise(full)),
     ]
     value = F.concat(F.concat_ws(END, *lines), F.lit(END + END), F.when(revisit, "").otherwise(F.col("payload")))
@@ -202,7 +207,7 @@ def read_archives(spark: SparkSession, path: str, **options: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
-    write_archives(plan_records(read(spark, sf_dir, "pages"), "page_id", "html"), path)
+    write_archives(plan_records(read(spark, sf_dir, "pages"), "page_id", "html", "url"), path)
     found = read_archives(spark, path).where(F.col("record_type").isin("response", "revisit"))
     number = lambda c: F.expr(f"try_cast(nullif(regexp_extract({c}, '<urn:page:(-?[0-9]*)>', 1), '') AS bigint)")
     response = F.col("record_type") == "response"
