@@ -34,6 +34,20 @@ def mask_bits(avg: int) -> int:
     return max(0, int(avg - 1).bit_length())
 
 
+def possible_cuts(data: bytes, k: int, block: int = 1 << 20) -> np.ndarray:
+    """Where the lowest k bits of the fingerprint are zeros. Worked out block by block, each with the k - 1 bytes before it, so that
+    the numbers held at once do not grow with the object."""
+    table, mask, found = gear() & np.uint64((1 << k) - 1), np.uint64((1 << k) - 1), []
+    for start in range(0, len(data), block):
+        before = min(start, k - 1)
+        g = table[np.frombuffer(data, np.uint8, min(block, len(data) - start) + before, start - before)]
+        h = g.copy()
+        for j in range(1, k):
+            h[j:] += g[: max(0, len(g) - j)] << np.uint64(j)
+        found.append(np.flatnonzero((h[before:] & mask) == 0) + start + 1)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def chunk_sizes(data: bytes, low: int, avg: int, high: int) -> list[int]:
     """Sizes of the chunks of an object; what is left when fewer than `high` bytes remain is one chunk."""
     if len(data) < high:
@@ -41,11 +55,7 @@ def chunk_sizes(data: bytes, low: int, avg: int, high: int) -> list[int]:
     k, table = mask_bits(avg), gear()
     sizes, at = [], 0
     if low >= k:
-        g = table[np.frombuffer(data, np.uint8)] & np.uint64((1 << k) - 1)
-        h = g.copy()
-        for j in range(1, k):
-            h[j:] += g[:-j] << np.uint64(j)
-        cuts = np.flatnonzero((h & np.uint64((1 << k) - 1)) == 0) + 1
+        cuts = possible_cuts(data, k)
         while len(data) - at >= high:
             i = int(np.searchsorted(cuts, at + low))
             size = int(cuts[i]) - at if i < len(cuts) and cuts[i] <= at + high else high
@@ -85,26 +95,27 @@ def cut_function(low: int, avg: int, high: int):
 
 def chunk(objects: DataFrame, low: int, avg: int, high: int, content: str = "raw", scope: Column | None = None) -> DataFrame:
     """Each object's chunks: the columns of `objects` but its content, with chunk_index, file_offset, chunk_size,
-    chunk_id and raw. An empty object has one empty chunk. Objects shorter than `high` are whole and never leave the JVM."""
+    chunk_id, raw, and the file_hash of the whole object. An empty object has one empty chunk. Objects shorter than `high` are whole and never leave the JVM."""
     raw = F.coalesce(content, F.lit(b""))
     long_ = F.octet_length("_raw") >= high
     whole = F.array(F.octet_length("_raw").cast("long"))
     of = objects.drop(content).columns
     base = objects.select(*of, raw.alias("_raw"), (scope if scope is not None else F.lit(None).cast("string")).alias("_scope"))
+    hashed = lambda c: scoped_sha256(F.col(c), F.col("_scope") if scope is not None else None)
+    base = base.withColumn("file_hash", hashed("_raw"))
     sized = base.where(~long_).withColumn("_sizes", whole).union(base.where(long_).withColumn("_sizes", cut_function(low, avg, high)("_raw")))
     ends = F.reduce("_sizes", F.array().cast("array<bigint>"), lambda all_, s: F.concat(all_, F.array(F.coalesce(F.try_element_at(all_, F.lit(-1)), F.lit(0)) + s)))
     pieces = sized.withColumn("_ends", F.when(F.size("_sizes") > 1, ends).otherwise(F.col("_sizes")))
     out = pieces.select("*", F.posexplode("_sizes").alias("chunk_index", "chunk_size")).withColumn("file_offset", F.get("_ends", F.col("chunk_index")) - F.col("chunk_size"))
     part = F.when(F.size("_sizes") == 1, F.col("_raw")).otherwise(F.expr("substring(_raw, cast(file_offset + 1 as int), cast(chunk_size as int))"))
-    out = out.select(*of, "chunk_index", "file_offset", "chunk_size", part.alias("raw"), "_scope")
-    return out.withColumn("chunk_id", scoped_sha256(F.col("raw"), F.col("_scope")) if scope is not None else scoped_sha256(F.col("raw"))).drop("_scope")
+    out = out.select(*of, "chunk_index", "file_offset", "chunk_size", "file_hash", part.alias("raw"), "_scope")
+    return out.withColumn("chunk_id", hashed("raw")).drop("_scope")
 
 
-def manifests(chunks: DataFrame, keys: list[str], scope: Column, scoped: bool) -> DataFrame:
-    """(keys, file_size, chunk_count, chunking_type, file_hash, manifest_id) of objects, from the rows of `chunk`."""
-    refs = F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_id", "file_offset", "chunk_size", "raw")))
-    grouped = chunks.withColumn("_scope", scope).groupBy(*keys, "_scope").agg(refs.alias("refs"))
-    whole = F.reduce("refs", F.lit(b""), lambda all_, r: F.concat(all_, r["raw"]))
-    out = grouped.select(*keys, "_scope", "refs", F.reduce("refs", F.lit(0).cast("long"), lambda n, r: n + r["chunk_size"]).alias("file_size"), F.size("refs").alias("chunk_count"))
-    out = out.withColumn("chunking_type", F.when(F.col("chunk_count") > 1, "FASTCDC").otherwise("SINGLE")).withColumn("file_hash", scoped_sha256(whole, F.col("_scope") if scoped else None))
+def manifests(chunks: DataFrame, keys: list[str], scope: Column) -> DataFrame:
+    """(keys, file_size, chunk_count, chunking_type, file_hash, manifest_id) of objects, from the rows of `chunk`. Only references are
+    gathered, no content."""
+    refs = F.sort_array(F.collect_list(F.struct("chunk_index", "chunk_id", "file_offset", "chunk_size")))
+    out = chunks.withColumn("_scope", scope).groupBy(*keys, "_scope").agg(refs.alias("refs"), F.sum("chunk_size").alias("file_size"), F.first("file_hash").alias("file_hash"))
+    out = out.withColumn("chunk_count", F.size("refs")).withColumn("chunking_type", F.when(F.col("chunk_count") > 1, "FASTCDC").otherwise("SINGLE"))
     return out.withColumn("manifest_id", manifest_id(F.col("_scope"), F.col("file_hash"), F.col("file_size"), F.col("chunking_type"), F.col("refs"))).drop("refs", "_scope")

@@ -72,7 +72,7 @@ def cdc_dedup_savings(spark, sf):
     FROM f"""
 )
 def manifest_ids(spark, sf):
-    return chunking.manifests(_chunks(spark, sf, True), ["doc_id"], F.col("tenant"), True).select("doc_id", "chunk_count", "file_size", "chunking_type", "file_hash", "manifest_id")
+    return chunking.manifests(_chunks(spark, sf, True), ["doc_id"], F.col("tenant")).select("doc_id", "chunk_count", "file_size", "chunking_type", "file_hash", "manifest_id")
 
 
 def _le_sql(sql: str) -> str:

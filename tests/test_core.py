@@ -38,7 +38,7 @@ def test_chunks_and_manifests(spark):
     rows = [(i, "tenant-a", bytearray(c)) for i, (c, *_) in enumerate(KNOWN)] + [(99, "tenant-a", None)]
     df = spark.createDataFrame(rows, "id long, tenant string, raw binary")
     chunks = chunking.chunk(df, 8, 16, 24, scope=F.col("tenant"))
-    got = {r.id: r for r in chunking.manifests(chunks, ["id"], F.col("tenant"), True).collect()}
+    got = {r.id: r for r in chunking.manifests(chunks, ["id"], F.col("tenant")).collect()}
     sizes = {}
     for r in chunks.orderBy("id", "chunk_index").collect():
         sizes.setdefault(r.id, []).append((r.file_offset, r.chunk_size))
@@ -49,6 +49,12 @@ def test_chunks_and_manifests(spark):
     assert sizes[99] == [(0, 0)] and got[99].manifest_id == got[0].manifest_id
 
 
+def test_cuts_do_not_depend_on_blocks():
+    data = random.Random(4).randbytes(5000)
+    whole = chunking.possible_cuts(data, 6).tolist()
+    assert len(whole) > 30 and all(chunking.possible_cuts(data, 6, block).tolist() == whole for block in (1, 3, 64, 4999, 5000))
+
+
 def test_cuts_without_a_window():
     """Where chunks may be shorter than the fingerprint's reach, each chunk starts a new one."""
     rng = random.Random(1)
