@@ -207,8 +207,9 @@ def set_rows(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, work, "rid long, n long, key binary, node long, bits binary, segment int, piece int, counts binary")
 
 
-def rarity(rows: DataFrame) -> np.ndarray:
-    """How often each bucket of tokens occurs. Tasks' counts are added PIECES at a time, in as many rounds as that takes."""
+def rarity(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(rarity level of each bucket of tokens, a byte; number of salts of each level). Tasks' counts are added PIECES at a time, in as
+    many rounds as that takes; the driver gets one segment after the other and keeps the levels alone."""
 
     def add(pdf):
         import pandas as pd
@@ -225,17 +226,13 @@ def rarity(rows: DataFrame) -> np.ndarray:
         last //= PIECES
         if not last:
             break
-    counts = np.zeros((SEGMENTS, BUCKETS // SEGMENTS), np.uint64)
-    for r in parts.collect():
-        counts[r["segment"]] = unpack_counts(r["counts"])
-    return counts.reshape(-1)
-
-
-def levels_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rarity level of each bucket, a byte; number of salts of each level) from the buckets' counts."""
-    level = np.minimum(np.floor(np.log2(counts + 1.0) * 6), 255).astype(np.uint8)
-    hot = max(HOT_TOKENS, HOT_MEAN * float(counts.mean()))
-    return level, np.ceil(2.0 ** ((np.arange(256) + 1) / 6) / hot).astype(np.int64)
+    levels, total = np.zeros((SEGMENTS, BUCKETS // SEGMENTS), np.uint8), 0
+    for r in parts.toLocalIterator():
+        counts = unpack_counts(r["counts"])
+        total += int(counts.sum())
+        levels[r["segment"]] = np.minimum(np.floor(np.log2(counts + 1.0) * 6), 255)
+    hot = max(HOT_TOKENS, HOT_MEAN * total / BUCKETS)
+    return levels.reshape(-1), np.ceil(2.0 ** ((np.arange(256) + 1) / 6) / hot).astype(np.int64)
 
 
 def prefix_rows(docs: DataFrame, levels) -> DataFrame:
@@ -399,7 +396,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("text"))
     rows = materialise(set_rows(docs), "sets")
     sets = rows.where("segment is null").select("rid", "n", "key")
-    levels = sc.broadcast(levels_of(rarity(rows)))
+    levels = sc.broadcast(rarity(rows))
     of_class = rows.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("bits", ignorenulls=True).alias("bits"))
     classes = materialise(of_class, "classes")
 
