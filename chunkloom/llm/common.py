@@ -104,6 +104,20 @@ def rank_within(df: DataFrame, keys: list[str], order: list[Column], out: str, s
     return ranked.join(sizes, [*keys, "_salt"]).withColumn(out, (F.col("_base") + F.col("_r")).cast("long")).drop("_salt", "_base", "_r")
 
 
+def by_row(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """Adds `_row`, a number of each row's own: its id, or one beyond all ids where that is null or repeated. Rows that repeat an id
+    follow all others, in an order that their `columns` give. `docs` must give the same rows when it is computed again."""
+    rows, ids, last = docs.agg(F.count(F.lit(1)), F.countDistinct(id_col), F.max(F.col(id_col).cast("long"))).first()
+    if rows == ids:
+        return docs.withColumn("_row", F.col(id_col).cast("long"))
+    order = [F.xxhash64(*columns)]
+    ranked = materialise(rank_within(docs.where(F.col(id_col).isNotNull()), [id_col], order, "_n"), "ranked")
+    first = ranked.where("_n = 0").select(*docs.columns, F.col(id_col).cast("long").alias("_row"))
+    others = ranked.where("_n > 0").select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+    others = rank_within(others, [], order, "_n").select(*docs.columns, (F.col("_n") + F.lit((-1 if last is None else last) + 1)).alias("_row"))
+    return materialise(first.union(others), "rows")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of the component of each node on an edge (u, v), of longs or of binary keys.
 

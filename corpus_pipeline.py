@@ -1,5 +1,8 @@
 """From documents to packed training sequences: language, lines, near duplicates, packing.
 
+Edge cases, of every stage: null and empty texts have no language and go in the first stage, and a later stage keeps them; a very long
+text is one document like others; ties go to the lesser id; an empty table gives no rows; columns beside those of documents are left out.
+
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Stages
 are written and read again between one another. Rows with a null doc_id, and those that repeat one, are documents of their own,
 which are decided on by themselves and count as later than all others."""
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkloom.llm.common import materialise, rank_within, read
+from chunkloom.llm.common import by_row, materialise, read
 from chunkloom.llm.jaccard import jaccard_components
 from chunkloom.llm.language import UNKNOWN, fit, held_out, predict
 from chunkloom.llm.lines import dedup_lines
@@ -20,22 +23,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.34
 
 
-def by_row(docs: DataFrame) -> DataFrame:
-    """Adds `_row`, a number of each row's own: its doc_id, or one beyond all ids where that is null or repeated."""
-    rows, ids, last = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id"), F.max("doc_id")).first()
-    if rows == ids:
-        return docs.withColumn("_row", F.col("doc_id").cast("long"))
-    order = [F.xxhash64(*COLUMNS)]
-    ranked = materialise(rank_within(docs.where("doc_id is not null"), ["doc_id"], order, "_n"), "ranked")
-    first = ranked.where("_n = 0").select(*COLUMNS, F.col("doc_id").cast("long").alias("_row"))
-    others = ranked.where("_n > 0").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
-    others = rank_within(others, [], order, "_n").select(*COLUMNS, (F.col("_n") + F.lit((-1 if last is None else last) + 1)).alias("_row"))
-    return materialise(first.union(others), "rows")
+def numbered(docs: DataFrame) -> DataFrame:
+    return by_row(docs.select(*COLUMNS), "doc_id", list(COLUMNS))
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the labelled languages; those without a letter or without a clear language go."""
-    docs = by_row(docs)
+    docs = numbered(docs)
     found = predict(docs, fit(docs.where(~held_out())), id_col="_row")
     good = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row")
     return docs.join(good, "_row", "left_semi").select(*COLUMNS)
@@ -43,7 +37,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that are similar to earlier ones; those of which no word is left go."""
-    docs = by_row(docs)
+    docs = numbered(docs)
     cut = dedup_lines(docs, id_col="_row").select("_row", F.col("text").alias("_text"), "n_removed")
     left = (F.col("n_removed") == 0) | (F.length(F.trim(F.translate("_text", "\n\t\r", "   "))) > 0)
     joined = docs.drop("text").join(cut, "_row").where(left)
@@ -52,7 +46,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near duplicates; documents without words are in no group."""
-    docs = by_row(docs)
+    docs = numbered(docs)
     found = jaccard_components(docs, id_col="_row").where(F.col("component_id").isNull() | (F.col("_row") == F.col("component_id"))).select("_row")
     return docs.join(found, "_row", "left_semi").select(*COLUMNS)
 
