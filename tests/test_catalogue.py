@@ -42,11 +42,6 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns and ours == theirs
 
 
-def test_payloads(spark):
-    if os.path.isdir(DATA):
-        assert catalogue.queries()["payload_roundtrip"](spark, DATA).where("NOT same").count() == 0
-
-
 def test_entry_works_without_the_optional_parts(monkeypatch):
     import __spark_entry__ as e
 
