@@ -25,6 +25,8 @@ WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 12, 6
 #: Bounds of the sample that the network is trained on: texts of each label, and windows of each text.
 TEXTS_PER_LABEL, WINDOWS_PER_TEXT = 600, 4
 UNKNOWN = "und"
+#: Parts of the range of hashes, for finding the least ones of each label.
+HASH_PARTS = 1024
 
 
 @dataclass
@@ -117,15 +119,26 @@ def train(x: np.ndarray, y: np.ndarray, labels: list[str], steps: int = 900, bat
     return Network(labels, p["embed"], [p[f"w{w}"].reshape(w, EMBEDDING, FILTERS) for w in WIDTHS], p["bias"], p["out"], p["out_bias"])
 
 
+def least_hashes(rows: DataFrame, most: int) -> DataFrame:
+    """The `most` least of the different hashes (_label, _hash) of each label. Counts by the hashes' highest bits, HASH_PARTS for each label, tell
+    which may be among them, so that no task gets all hashes of a label."""
+    part = F.shiftright("_hash", 64 - (HASH_PARTS - 1).bit_length())
+    counts = rows.groupBy("_label", part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    last = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < most).groupBy("_label").agg(F.max("_part").alias("_last"))
+    few = rows.join(F.broadcast(last), "_label").where(part <= F.col("_last"))
+    first = Window.partitionBy("_label").orderBy("_hash")
+    return few.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).select("_label", "_hash")
+
+
 def fit(df: DataFrame, text_col: str = "text", label_col: str = "lang", texts_per_label: int = TEXTS_PER_LABEL) -> Network | None:
     """A network for the labels of rows that have a text and a label; None if there are none. The sample is bounded by
     `texts_per_label` different texts of each label and WINDOWS_PER_TEXT windows of each of these."""
     rows = df.select(F.col(text_col).alias("_text"), F.col(label_col).alias("_label")).where("_text is not null and _label is not null and length(_text) > 0")
     # Copies of a text are one: a large group of them would fill the label's sample. Hashes are ranked, so few texts are shuffled.
     rows = rows.withColumn("_hash", F.xxhash64("_text"))
-    first = Window.partitionBy("_label").orderBy("_hash")
-    chosen = rows.select("_label", "_hash").distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= texts_per_label)
-    rows = rows.join(F.broadcast(chosen.select("_label", "_hash")), ["_label", "_hash"], "left_semi").dropDuplicates(["_label", "_text"])
+    chosen = least_hashes(rows.select("_label", "_hash").distinct(), texts_per_label)
+    rows = rows.join(F.broadcast(chosen), ["_label", "_hash"], "left_semi").dropDuplicates(["_label", "_text"])
 
     def cut(it: Iterator[dict]) -> Iterator[dict]:
         for cols in it:

@@ -182,6 +182,17 @@ def test_language(spark, docs, none):
     assert fit(none) is None and predict(none, net).count() == 0 and by_id(predict(docs, None))[8][0].lang_pred == "und"
 
 
+def test_least_hashes(spark):
+    from chunkloom.llm.language import least_hashes
+
+    rng = random.Random(2)
+    rows = [("a", rng.randrange(-(1 << 63), 1 << 63)) for _ in range(5000)] + [("b", i) for i in range(-3, 40)] + [("c", 7)]
+    got = collections.defaultdict(list)
+    for r in least_hashes(spark.createDataFrame(rows, "_label string, _hash long").repartition(7), 20).collect():
+        got[r[0]].append(r[1])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(h for x, h in rows if x == k)[:20] for k in "abc"}
+
+
 def test_language_learns_from_different_texts(spark, monkeypatch):
     from chunkloom.llm import language
 
