@@ -30,7 +30,7 @@ from chunkloom.llm.words import LOWER, hashes
 #: Bytes of the longest context. One byte that UTF-8 never has stands for the end of a text, and before its beginning.
 ORDER, END = 5, b"\xff"
 #: Entries of a slice of the trie; text bytes of a block of documents.
-SLICE_ENTRIES, BLOCK_BYTES = 1_000_000, 16 << 20
+SLICE_ENTRIES, BLOCK_BYTES = 1_000_000, 32 << 20
 #: Text bytes that are scored at once.
 PART_BYTES = 512 << 10
 SYMBOLS = 256
@@ -178,9 +178,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     `train_col` is true are learned from. Scores are log10 probabilities of the text with A-Z in lower case, and its end."""
     spark = df.sparkSession
     per_scan = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB")) if spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB").isdigit() else 128 << 20
-    parts = max(1, -(-per_scan // BLOCK_BYTES))
+    parts, scans = max(1, -(-per_scan // BLOCK_BYTES)), max(1, BLOCK_BYTES // per_scan)
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(F.col(train_col), F.lit(False)).alias("train"))
-    docs = docs.withColumn("block", F.spark_partition_id().cast("long") * parts + F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
+    docs = docs.withColumn("block", F.floor(F.spark_partition_id() / scans) * parts + F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
     # A folder for each block: its texts are read where its words are, without a shuffle.
     blocks, schema = shared_dir(spark, "blocks"), docs.schema
     docs.write.partitionBy("block").parquet(blocks)
