@@ -10,7 +10,9 @@ Trees over a whole corpus would have full bitmaps near the root and prune nothin
 can only be similar if they share one of their n - ceil(0.8 n) + 1 rarest tokens, so sets chained by such tokens (and
 by sizes within 0.8) form blocks, found by a shuffle of those tokens alone; each block has a tree. Blocks of more than
 TILE_TOKENS tokens are cut by size into tiles, each a subtree, and pairs of tiles with compatible sizes are traversed in
-tasks of their own. Rarity is by counts in a fixed number of buckets, over all documents. Trees are traversed twice: with the leaves'
+tasks of their own. Rarity is by counts in a fixed number of buckets, over all documents, so the larger the corpus, the more tokens
+of a few sets pass for rare, and chains of texts that quote one another would run through the corpus. So a token of up to PAIRED
+sets links only those pairs whose bitmaps allow it; these bitmaps are as wide as a set is large. Trees are traversed twice: with the leaves'
 bitmaps alone, which splits blocks into smaller ones, and then, for what is left in blocks, with whole sets.
 
 Equal sets are one class, told by 128 bits of a hash of the set. One plan holds at every size: texts are never shuffled, they are read
@@ -42,6 +44,8 @@ PIECES, SEGMENTS = 256, 64
 #: Occurrences up to which a bucket's tokens are dealt as they are, and times the mean; more frequent ones are salted.
 HOT_TOKENS, HOT_MEAN = 1 << 16, 8
 FILTER_BITS = 1 << 26
+#: Sets up to which those that share a token are held against one another, in pairs; rows that are searched for such at once.
+PAIRED, CHAIN_ROWS = 32, 1 << 18
 WEIGHTS = np.random.default_rng(5).integers(1, 1 << 62, SHINGLE, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
@@ -76,13 +80,27 @@ def similar(overlap, a, b):
     return 9 * overlap >= 4 * (a + b)
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """Tokens folded into BITMAP_WORDS words."""
-    row = np.zeros(64 * BITMAP_WORDS, np.uint8)
-    row[((tokens >> np.uint64(20)) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)] = 1
+def bitmap(tokens: np.ndarray, words: int = BITMAP_WORDS) -> bytes:
+    """Tokens folded into some 64-bit words."""
+    row = np.zeros(64 * words, np.uint8)
+    row[((tokens >> np.uint64(20)) % np.uint64(64 * words)).astype(np.int64)] = 1
     return np.packbits(row, bitorder="little").tobytes()
 
 
+def wide_bitmap(tokens: np.ndarray) -> bytes | None:
+    """A bitmap of two to four bits a token; none where that is not more than BITMAP_WORDS words."""
+    words = BITMAP_WORDS << (max(len(tokens) - 1, 0) // (32 * BITMAP_WORDS)).bit_length()
+    return bitmap(tokens, words) if words > BITMAP_WORDS else None
+
+
+def may_be_similar(n: int, a: bytes, m: int, b: bytes) -> bool:
+    """Whether bitmaps allow two sets of n and m tokens to be similar; the wider one is folded into the other's width."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, min(len(x), len(y))), axis=0) for z in (x, y))
+    ones = [int(np.bitwise_count(z).sum(dtype=np.int64)) for z in (x, y, x & y)]
+    return bool(similar(ones[2] + min(n - ones[0], m - ones[1]), n, m))
+
+
 class Tree:
     """A signature tree over sets in the order given, of their sizes and bitmaps: levels of bitmaps and size ranges, the leaves
     first. Without the sets themselves, leaves whose bitmaps allow it count as similar."""
@@ -184,8 +202,8 @@ def unpack_counts(data: bytes) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """Of (rid, text): rows (rid, n, key, node, bits, null...) for sets, and (null, ..., segment, piece, counts) for a task's token
-    counts. Only the first row of a class in a task has its bitmap."""
+    """Of (rid, text): rows (rid, n, key, node, bits, wide, null...) for sets, and (null, ..., segment, piece, counts) for a task's token
+    counts. Only the first row of a class in a task has its bitmaps."""
 
     def work(it: Iterator[dict]) -> Iterator[dict]:
         from pyspark import TaskContext
@@ -195,16 +213,17 @@ def set_rows(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(cols["text"])
             every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             np.add(count, np.bincount((every % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32), out=count)
-            none, keys, bits = [None] * len(sets), [set_key(s) for s in sets], []
+            none, keys, bits, wide = [None] * len(sets), [set_key(s) for s in sets], [], []
             for key, s in zip(keys, sets, strict=True):
                 bits.append(None if key in seen else bitmap(s))
+                wide.append(None if key in seen else wide_bitmap(s))
                 seen.add(key)
-            yield {"rid": cols["rid"], "n": [len(s) for s in sets], "key": keys, "node": [node_of(k) for k in keys], "bits": bits, "segment": none, "piece": none, "counts": none}
+            yield {"rid": cols["rid"], "n": [len(s) for s in sets], "key": keys, "node": [node_of(k) for k in keys], "bits": bits, "wide": wide, "segment": none, "piece": none, "counts": none}
         step = BUCKETS // SEGMENTS
         for i in range(SEGMENTS if count.any() else 0):
-            yield {"rid": [None], "n": [None], "key": [None], "node": [None], "bits": [None], "segment": [i], "piece": [TaskContext.get().partitionId()], "counts": [pack_counts(count[i * step : (i + 1) * step])]}
+            yield {"rid": [None], "n": [None], "key": [None], "node": [None], "bits": [None], "wide": [None], "segment": [i], "piece": [TaskContext.get().partitionId()], "counts": [pack_counts(count[i * step : (i + 1) * step])]}
 
-    return arrow_map(docs, work, "rid long, n long, key binary, node long, bits binary, segment int, piece int, counts binary")
+    return arrow_map(docs, work, "rid long, n long, key binary, node long, bits binary, wide binary, segment int, piece int, counts binary")
 
 
 def rarity(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -284,37 +303,64 @@ class Numbered(Groups):
         return [(x, names[self.root(i)]) for i, x in enumerate(names) if self.root(i) != i]
 
 
-def chains(prefixes: DataFrame) -> DataFrame:
-    """Edges (u, v) between sets that share a rare token and whose sizes are within 0.8, or chained by such.
+def chains(prefixes: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (u, v) between sets that share a rare token and whose sizes are within 0.8, or chained by such. Where up to PAIRED sets
+    share it, edges are those of the pairs of `classes` (node, n, bits, wide) that may be similar.
 
     Of a salted token, each part gives its runs of sizes, and a second step chains runs that come within 0.8 of one another."""
-    kind = "u long, v long, token long, lo long, hi long"
+    kind = "u long, v long, sure boolean, token long, lo long, hi long"
 
-    def rows(edges: list[tuple[int, int]]) -> dict:
-        none = [None] * len(edges)
-        return {"u": [a for a, _ in edges], "v": [b for _, b in edges], "token": none, "lo": none, "hi": none}
+    def rows(u, v, sure) -> dict:
+        none = [None] * len(u)
+        return {"u": u, "v": v, "sure": [sure] * len(u), "token": none, "lo": none, "hi": none}
 
-    def first(it: Iterator[dict]) -> Iterator[dict]:
-        groups, held, low = Numbered(), None, 0
+    def whole_groups(it: Iterator[dict]) -> Iterator[np.ndarray]:
+        held, size = [], 0
         for cols in it:
-            now = np.array([cols[k] for k in ("token", "salt", "node", "n")], np.int64)
-            now = now if held is None else np.concatenate([held, now], axis=1)
-            token, salt, node, n = now
+            held.append(np.array([cols[k] for k in ("token", "salt", "node", "n")], np.int64))
+            size += held[-1].shape[1]
+            if size >= CHAIN_ROWS:
+                now = np.concatenate(held, axis=1)
+                ends = np.flatnonzero((now[:2, 1:] != now[:2, :-1]).any(axis=0))
+                cut = int(ends[-1]) + 1 if len(ends) else 0
+                if cut:
+                    yield now[:, :cut]
+                held, size = [now[:, cut:]], 0
+        if held:
+            yield np.concatenate(held, axis=1)
+
+    def pairs(run, node, n) -> tuple[np.ndarray, np.ndarray]:
+        """The different pairs of nodes of one run whose sizes are within 0.8; runs are short."""
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d in range(1, PAIRED):
+            at = np.flatnonzero((run[d:] == run[:-d]) & (5 * n[:-d] >= 4 * n[d:]) & (node[d:] != node[:-d]))
+            us.append(np.minimum(node[at], node[at + d]))
+            vs.append(np.maximum(node[at], node[at + d]))
+        u, v = np.concatenate(us), np.concatenate(vs)
+        by = np.lexsort((v, u))
+        u, v = u[by], v[by]
+        new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)]
+        return u[new], v[new]
+
+    def first(it: Iterator[dict]) -> Iterator[dict]:
+        groups = Numbered()
+        for now in whole_groups(it):
+            # Of a class, several tasks may have given the same row.
+            token, salt, node, n = now = now[:, np.r_[True, (now[:, 1:] != now[:, :-1]).any(axis=0)]]
             same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1]) & (5 * n[:-1] >= 4 * n[1:])
-            for i in np.flatnonzero(same & (node[1:] != node[:-1])).tolist():
-                groups.link(int(node[i]), int(node[i + 1]))
             begin = np.r_[0, np.flatnonzero(~same) + 1]
-            lo = n[begin]
-            if held is not None:
-                lo[0] = low
-            done = np.flatnonzero(salt[begin[:-1]] >= 0)
-            if len(done):
-                at = begin[done]
-                yield {"u": node[at].tolist(), "v": [None] * len(at), "token": token[at].tolist(), "lo": lo[done].tolist(), "hi": n[begin[done + 1] - 1].tolist()}
-            held, low = now[:, -1:], int(lo[-1])
-        if held is not None and held[1, 0] >= 0:
-            yield {"u": [int(held[2, 0])], "v": [None], "token": [int(held[0, 0])], "lo": [low], "hi": [int(held[3, 0])]}
-        yield rows(groups.edges())
+            size = np.diff(np.r_[begin, len(token)])
+            run = np.repeat(np.arange(len(begin)), size)
+            few = (size <= PAIRED) & (salt[begin] < 0)
+            for i in np.flatnonzero(same & ~few[run[1:]] & (node[1:] != node[:-1])).tolist():
+                groups.link(int(node[i]), int(node[i + 1]))
+            short = np.flatnonzero((few & (size > 1))[run])
+            yield rows(*(x.tolist() for x in pairs(run[short], node[short], n[short])), False)
+            done = np.flatnonzero(salt[begin] >= 0)
+            at, end = begin[done], begin[done] + size[done] - 1
+            yield {"u": node[at].tolist(), "v": [None] * len(at), "sure": [None] * len(at), "token": token[at].tolist(), "lo": n[at].tolist(), "hi": n[end].tolist()}
+        edges = groups.edges()
+        yield rows([a for a, _ in edges], [b for _, b in edges], True)
 
     def second(it: Iterator[dict]) -> Iterator[dict]:
         groups, token, top, node = Numbered(), None, 0, 0
@@ -326,12 +372,22 @@ def chains(prefixes: DataFrame) -> DataFrame:
                     top = max(top, hi)
                 else:
                     token, top, node = t, hi, u
-        yield rows(groups.edges())
+        edges = groups.edges()
+        yield rows([a for a, _ in edges], [b for _, b in edges], True)
+
+    def allowed(it: Iterator[dict]) -> Iterator[dict]:
+        for cols in it:
+            fit = [i for i, x in enumerate(zip(cols["n_u"], cols["bits_u"], cols["n_v"], cols["bits_v"], strict=True)) if may_be_similar(*x)]
+            yield {"u": [cols["u"][i] for i in fit], "v": [cols["v"][i] for i in fit]}
 
-    dealt = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "n")
-    found = materialise(arrow_map(dealt, first, kind), "chains")
+    dealt = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "node")
+    found = materialise(arrow_map(dealt, first, kind, numbers=True), "chains")
     runs = found.where("token is not null").repartition("token").sortWithinPartitions("token", "lo")
-    return found.where("token is null").select("u", "v").union(arrow_map(runs, second, kind).select("u", "v"))
+    sure = found.where("sure").select("u", "v").union(arrow_map(runs, second, kind).select("u", "v"))
+    both = found.where("not sure").select("u", "v").distinct()
+    for x in ("u", "v"):
+        both = both.join(classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.coalesce("wide", "bits").alias(f"bits_{x}")), x)
+    return sure.union(arrow_map(both, allowed, "u long, v long"))
 
 
 def tree_links(members: DataFrame) -> DataFrame:
@@ -397,12 +453,12 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = materialise(set_rows(docs), "sets")
     sets = rows.where("segment is null").select("rid", "n", "key")
     levels = sc.broadcast(rarity(rows))
-    of_class = rows.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("bits", ignorenulls=True).alias("bits"))
+    of_class = rows.where("n > 0").groupBy("key").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("node").alias("node"), F.first("bits", ignorenulls=True).alias("bits"), F.first("wide", ignorenulls=True).alias("wide"))
     classes = materialise(of_class, "classes")
 
-    edges = components(chains(prefix_rows(docs, levels)))
+    edges = components(chains(prefix_rows(docs, levels), classes))
     # Classes that are chained with others, in their blocks; large blocks are cut into tiles.
-    chained = materialise(classes.drop("rid").join(edges.select("node", F.col("root").alias("block")), "node"), "blocks")
+    chained = materialise(classes.drop("rid", "wide").join(edges.select("node", F.col("root").alias("block")), "node"), "blocks")
     edges = components(tree_links(tiles(chained, tile_tokens)))
     # What the bitmaps leave together.
     chained = materialise(chained.drop("block").join(edges.select(F.col("node").alias("key"), F.xxhash64("root").alias("block")), "key"), "blocks")

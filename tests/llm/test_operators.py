@@ -450,6 +450,39 @@ def test_jaccard_deals_frequent_tokens_out(spark, monkeypatch):
     assert {i: r[0].component_id for i, r in got.items()} == label and {i: r[0].n_shingles for i, r in got.items()} == size
 
 
+def test_jaccard_does_not_chain_texts_that_quote_one_another(spark, monkeypatch):
+    from chunkloom.llm import jaccard
+
+    # So few buckets that rarity tells nothing, as those of a large corpus; each text quotes a part of the one before it.
+    monkeypatch.setattr(jaccard, "BUCKETS", 64)
+    rng = random.Random(21)
+    texts = [[f"t{i}w{k}" for k in range(rng.choice([90, 200, 1500, 3000]))] for i in range(60)]
+    quoting = [texts[i - 1][5 : 5 + len(texts[i - 1]) // 12] + w for i, w in enumerate(texts)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(quoting)]
+    rows += [(100 + i, " ".join(quoting[i][: -len(quoting[i]) // 15])) for i in (3, 17, 40)]  # these have near copies
+    in_blocks = []
+    tiles = jaccard.tiles
+    monkeypatch.setattr(jaccard, "tiles", lambda found, tokens: in_blocks.append(found.count()) or tiles(found, tokens))
+    got = by_id(jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)))
+    size, label = brute_components(rows)
+    assert {i: r[0].component_id for i, r in got.items()} == label and {i: r[0].n_shingles for i, r in got.items()} == size
+    assert in_blocks == [6, 6] and [label[100 + i] for i in (3, 17, 40)] == [3, 17, 40]
+
+
+def test_bitmaps_allow_all_similar_sets():
+    from chunkloom.llm.jaccard import bitmap, may_be_similar, similar, wide_bitmap
+
+    rng = np.random.default_rng(4)
+    for n in (1, 9, 100, 1000, 1024, 1025, 2048, 2049, 5000, 40_000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for part in (0.5, 0.81, 0.9, 1):
+            b = a[: max(1, int(n * part))]
+            x, y = (wide_bitmap(s) or bitmap(s) for s in (a, b))
+            assert may_be_similar(n, x, len(b), y) or not similar(len(b), n, len(b))
+        other = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        assert n < 9 or not may_be_similar(n, wide_bitmap(a) or bitmap(a), n, wide_bitmap(other) or bitmap(other))
+
+
 def test_components(spark):
     from chunkloom.llm.common import components
 
