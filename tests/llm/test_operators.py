@@ -388,6 +388,44 @@ def test_search_takes_all_documents_as_queries(spark, tmp_path, monkeypatch):
     assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
 
 
+def test_search_takes_queries_of_one_id_as_one(spark):
+    from chunkloom.llm.search import top_k
+
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), (3, "epsilon"), (4, "alpha gamma")], "doc_id long, text string")
+    queries = [(5, "alpha"), (5, "gamma gamma"), (5, None), (6, "alpha gamma")]
+    got = collections.defaultdict(list)
+    for r in top_k(docs, spark.createDataFrame(queries, "query_id long, text string")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.doc_id, r.score))
+    assert [d for _, d, _ in got[5]] == [4, 1, 2] and got[5] == got[6]
+
+
+def test_search_passes_over_blocks(monkeypatch):
+    from chunkloom.llm import search
+
+    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "QUERIES_AT_ONCE", 5)
+    rng = np.random.default_rng(8)
+    first = np.cumsum([0, *rng.integers(1, 9, 23)])
+    terms = np.concatenate([np.sort(rng.choice(70, n, replace=False)) for n in np.diff(first)])
+    for dense in (0, 0.05, 2):  # all terms by matrices, some, none
+        monkeypatch.setattr(search, "DENSE", dense)
+        best, every, seen = search.Best(23, 3), [], (0, 0)
+        for part in range(6):
+            weight = np.rint(rng.random((70, 90)) * (rng.random((70, 90)) < 0.1) * 2.0 ** (20 - 3 * part)) / 2.0**20
+            weight[69] = 0.5
+            weight[:, 50] = weight[:, 40]  # equal documents: the lower id comes first
+            ids = rng.permutation(90) + 100 * part
+            at = np.flatnonzero(weight.any(axis=1))
+            term, doc = np.nonzero(weight[at])
+            begin = np.searchsorted(term, np.arange(len(at) + 1))
+            done = search.search_part(best, ids, at, begin, doc, weight[at[term], doc], first, terms, np.bincount(terms, minlength=70) / 23)
+            seen = (seen[0] + done[0], seen[1] + done[1])
+            every += [(q, -float(weight[terms[first[q] : first[q + 1]], d].sum()), int(ids[d])) for q in range(23) for d in range(90)]
+        want = [x for q in range(23) for x in sorted(x for x in every if x[0] == q and x[1])[:3]]
+        assert list(zip(best.query.tolist(), (-best.score).tolist(), best.id.tolist(), strict=True)) == want
+        assert 0 < seen[0] < seen[1]
+
+
 def brute_components(rows: list[tuple]) -> tuple[dict, dict]:
     sets = {}
     for i, t in rows:
