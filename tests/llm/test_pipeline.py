@@ -42,3 +42,20 @@ def test_null_and_repeated_ids(spark, tmp_path):
     got = [sorted(((r.doc_id, r.text) for r in stage(spark, docs, str(tmp_path)).collect()), key=key) for _, stage in cp.STAGES[:3]]
     assert got[0] == sorted(((r[0], r[1]) for r in rows), key=key)
     assert got[1] == got[2] == sorted(((r[0], r[1]) for r in clean), key=key)
+
+
+def test_near_duplicates_are_not_chained_by_quotations(spark, monkeypatch):
+    import corpus_pipeline
+    from chunkloom.llm import jaccard
+
+    # So few buckets that rarity tells nothing, as those of a large corpus; each text quotes a part of the one before it.
+    monkeypatch.setattr(jaccard, "BUCKETS", 64)
+    words = [[f"t{i}w{k}" for k in range(200)] for i in range(30)]
+    texts = [" ".join(words[i - 1][5:20] + w) for i, w in enumerate(words)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, texts[9] + " end"])]
+    in_blocks = []
+    tiles = jaccard.tiles
+    monkeypatch.setattr(jaccard, "tiles", lambda found, tokens: in_blocks.append(found.count()) or tiles(found, tokens))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == list(range(30))
+    assert in_blocks == [2, 2]
