@@ -167,6 +167,25 @@ def test_line_dedup(docs, none):
     assert dedup_lines(none).count() == 0
 
 
+def test_line_dedup_counts_a_sample(spark, monkeypatch):
+    from chunkloom.llm import lines
+
+    rows = [(i, f"the very same long line of words is in every text here\nbut w{i // 2} w{i // 2 + 1} w{i // 2 + 2} w{i // 2 + 3} w{i // 2 + 4} is in two") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    numbered = docs.withColumnRenamed("doc_id", "rid")
+    # Arrays that have no nulls by their type are sorted as numbers.
+    assert not lines.token_lines(lines.lines_of(numbered)).schema["tokens"].dataType.containsNull
+    level = lambda: max(spark.range(1).select(lines.rarity(numbered).alias("x")).first().x)
+    found, levels = [], []
+    for sample in (1, 4, 1 << 30):
+        monkeypatch.setattr(lines, "SAMPLE", sample)
+        found.append(sorted(lines.dedup_lines(docs).collect()))
+        levels.append(level())
+    # Whatever is counted, all lines of all documents are compared.
+    assert found[0] == found[1] == found[2] and sum(r.n_removed for r in found[0]) == 79 + 40
+    assert levels[0] > levels[1] > levels[2] == 0
+
+
 def test_language(spark, docs, none):
     from chunkloom.llm.language import fit, predict
 
