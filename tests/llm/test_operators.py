@@ -459,6 +459,35 @@ def brute_components(rows: list[tuple]) -> tuple[dict, dict]:
     return {i: len(s) for i, s in sets.items()}, label
 
 
+def test_search_gives_few_rows_from_many_tasks(spark, monkeypatch):
+    from chunkloom.llm import search
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{min(rng.randint(0, 60), rng.randint(0, 60))}" for _ in range(rng.randint(5, 60)))) for i in range(400)]
+    queries = spark.createDataFrame(rows[::40], "query_id long, text string")
+    made, plain = [], search.arrow_map
+
+    def counted(df, work, schema, **more):
+        out = plain(df, work, schema, **more)
+        if schema.startswith("query_id"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "arrow_map", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # A cut of files that keeps each shard a task of its own.
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    try:
+        many = sorted(search.top_k(docs.repartition(40), queries, 3).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    rounds = len(made)
+    one = sorted(search.top_k(docs.coalesce(1), queries, 3).collect())
+    # Rounds of 1, 8 and the rest; 40 tasks that start from nothing would make 40 times three rows for each of ten queries.
+    assert rounds == 3 and sum(made[:rounds]) < 20 * 30 and made[rounds:] == [30]
+    assert [(r.query_id, r["rank"], r.doc_id, r.score) for r in many] == [(r.query_id, r["rank"], r.doc_id, r.score) for r in one]
+
+
 @pytest.mark.parametrize("tile", [2_000_000, 60])
 def test_jaccard(spark, docs, none, tile):
     from chunkloom.llm.jaccard import jaccard_components
