@@ -179,3 +179,14 @@ def test_long_checksums():
         for b in data:
             crc = table[(crc ^ b) & 255] ^ (crc >> 8)
         assert codecs.crc32c_bytes(data) == crc ^ 0xFFFFFFFF == codecs.crc32c_many([data, b"x"])[0]
+
+
+def most_rows(function) -> int:
+    """How many values a Python worker is sent at once."""
+    from pyspark.util import PythonEvalType
+
+    return {PythonEvalType.SQL_BATCHED_UDF: 100}.get(function.evalType, 10_000)
+
+
+def test_objects_go_to_python_in_small_batches():
+    assert most_rows(chunking.cut_function(8, 16, 24)) == 100
