@@ -190,3 +190,10 @@ def most_rows(function) -> int:
 
 def test_objects_go_to_python_in_small_batches():
     assert most_rows(chunking.cut_function(8, 16, 24)) == 100
+
+
+def test_payloads_go_to_python_in_small_batches(spark):
+    assert most_rows(codecs.zstd_compress) == most_rows(codecs.zstd_decompress) == 100
+    values = [bytes([i % 251]) * (i % 7) for i in range(2 * codecs.SLICE + 5)]
+    df = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(values)], "i int, raw binary").repartition(1)
+    assert [r[1] for r in df.select("i", codecs.crc32c("raw")).orderBy("i").collect()] == [codecs.crc32c_bytes(v) for v in values]
